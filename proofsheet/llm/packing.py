@@ -178,16 +178,23 @@ def hilbert(x: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def _tokenize(tokenizer: str):
+def _kind(wide: bool) -> str:
+    return "<u4" if wide else "<u2"
+
+
+def _tokenize(tokenizer: str, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(tokenizer)
+        words, kind = words_of(tokenizer), np.dtype(_kind(wide))
+        n_ids = words.tokenizer.get_vocab_size()
+        if n_ids > 1 << 8 * kind.itemsize:
+            raise ValueError(f"{tokenizer} has {n_ids} ids: wide=True is needed")
         for batch in batches:
             column = batch.column("t")
             _, offsets = buffers(column)
             for first, last in groups(offsets):
                 ids, at = words.tokens(column.slice(first, last - first).to_pylist())
-                keys = hilbert(coordinates(ids, at, max(1 << 16, words.tokenizer.get_vocab_size())))
-                data = pa.Array.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer((at * 4).astype(np.int64)), pa.py_buffer(ids.astype("<u4"))])
+                keys = hilbert(coordinates(ids, at, max(1 << 16, n_ids)))
+                data = pa.Array.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer((at * kind.itemsize).astype(np.int64)), pa.py_buffer(ids.astype(kind))])
                 rows = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), rows.column("tie"), rows.column("doc_id"), data.cast(pa.binary())], names=["key", "tie", "doc_id", "ids"])
 
@@ -209,51 +216,53 @@ def cut(pieces: list[tuple], lengths: list[int]) -> Iterator[tuple[int, int, tup
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    base = TaskContext.get().partitionId() << 40
-    sequence, held, fill = 0, [], 0
-    out: list[tuple] = []
-
-    def emit(pieces: list[tuple], lengths: list[int]) -> None:
-        nonlocal sequence
-        for part, at, (doc_id, ids), a, b in cut(pieces, lengths):
-            out.append((doc_id, a, b - a, zlib.crc32(ids[a:b]), len(ids), base + sequence + part, at))
-        sequence += len(lengths)
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [()] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    for batch in batches:
-        for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-            ids = np.frombuffer(data.as_buffer(), "<u4")
-            held.append(((doc_id, ids), 0, len(ids)))
-            fill += len(ids)
-            if fill >= SEQUENCE:
-                whole, rest = divmod(fill, SEQUENCE)
-                row, a, b = held[-1]
-                tail = [(row, b - rest, b)] if rest else []
-                held[-1] = (row, a, b - rest)
-                emit(held, [SEQUENCE] * whole)
-                # What waits for the next documents is copied, so that no batch is kept alive.
-                held, fill = tail, rest
-        yield batch_of(out)
-        out = []
-    if fill:
-        emit(held, [1 << k for k in range(SEQUENCE.bit_length(), -1, -1) if fill >> k & 1])
-        yield batch_of(out)
-
-
-def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """docs(doc_id, text) -> key, tie, doc_id, ids (little-endian 32-bit)."""
+def _pack(wide: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 40
+        sequence, held, fill = 0, [], 0
+        out: list[tuple] = []
+
+        def emit(pieces: list[tuple], lengths: list[int]) -> None:
+            nonlocal sequence
+            for part, at, (doc_id, ids), a, b in cut(pieces, lengths):
+                out.append((doc_id, a, b - a, zlib.crc32(ids[a:b]), len(ids), base + sequence + part, at))
+            sequence += len(lengths)
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+        for batch in batches:
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+                ids = np.frombuffer(data.as_buffer(), _kind(wide)).astype("<u4")
+                held.append(((doc_id, ids), 0, len(ids)))
+                fill += len(ids)
+                if fill >= SEQUENCE:
+                    whole, rest = divmod(fill, SEQUENCE)
+                    row, a, b = held[-1]
+                    tail = [(row, b - rest, b)] if rest else []
+                    held[-1] = (row, a, b - rest)
+                    emit(held, [SEQUENCE] * whole)
+                    held, fill = tail, rest
+            yield batch_of(out)
+            out = []
+        if fill:
+            emit(held, [1 << k for k in range(SEQUENCE.bit_length(), -1, -1) if fill >> k & 1])
+            yield batch_of(out)
+
+    return run
+
+
+def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER, wide: bool = False) -> DataFrame:
+    """docs(doc_id, text) -> key, tie, doc_id, ids (little-endian, 16 bits each, or 32 if wide)."""
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("t"), F.xxhash64("doc_id", "text").alias("tie"))
-    return df.mapInArrow(_tokenize(tokenizer), "key long, tie long, doc_id long, ids binary")
+    return df.mapInArrow(_tokenize(tokenizer, wide), "key long, tie long, doc_id long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, wide: bool = False) -> DataFrame:
     """docs(doc_id, text) -> one row for each piece: its ids are those of its document from start on."""
-    rows = written(tokenized(docs, tokenizer), "pack-tokens")
-    return rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "doc_id").mapInArrow(_pack, PIECES)
+    rows = written(tokenized(docs, tokenizer, wide), "pack-tokens")
+    return rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "doc_id").mapInArrow(_pack(wide), PIECES)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, language_id, lm_score, media, mixing, packing, quality_rules, secret_scan, url_filter
+from . import chat_format, language_id, lm_score, media, mixing, ngram_join, packing, quality_rules, secret_scan, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": language_id.op2_language_id,
         "op3_secret_scan": secret_scan.op3_secret_scan,
         "op4_packing": packing.op4_packing,
+        "op5_ngram_join": ngram_join.op5_ngram_join,
         "op6_media_columns": media.op6_media_columns,
         "op7_mixing": mixing.op7_mixing,
         "op8_chat_rotation": chat_format.op8_chat_rotation,
