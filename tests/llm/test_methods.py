@@ -1,0 +1,140 @@
+"""Inner workings: models sum to one, curves are bijections, damaged members are read again."""
+
+import io
+import zipfile
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from proofsheet.llm import language_id, lm_score, media, mixing, packing, secret_scan, url_filter
+from proofsheet.llm.arrow_text import buffers
+
+
+def test_ppm_probabilities_sum_to_one():
+    rows = pa.RecordBatch.from_arrays([pa.array(["a", "b", "a"]), pa.array([b"the cat the dog", b"le chat le chien", b""], pa.binary())], names=["lang", "t"])
+    grams = pa.Table.from_batches(language_id._grams(iter([rows]))).group_by(["lang", "gram"]).aggregate([("n", "sum")]).rename_columns(["lang", "gram", "n"])
+    model = language_id.build(grams)
+    p = np.exp2(-model.bits.astype(float).reshape(-1, language_id.CLASSES, 2))
+    assert np.allclose(p.sum(1), 1)
+    bits = language_id.code_lengths(model, *buffers(pa.array([b"the dog", b"le chien", b"", b"the dog" * 400_000])))
+    assert bits[0, 0] < bits[0, 1] and bits[1, 1] < bits[1, 0] and not bits[2].any()
+    assert bits[3, 0] > 3e5 * bits[0, 0] / 1.2  # a text longer than a slice is scored whole
+
+
+def test_context_tree_weighting_sums_to_one_and_equals_recursion():
+    rows = pa.RecordBatch.from_arrays([pa.array([b"abab abab", b"", b"ab"], pa.binary())], names=["t"])
+    counts = pa.Table.from_batches(lm_score._count_keys(iter([rows])))
+    keys, n = counts.column("key").to_numpy().astype(np.int64), counts.column("n").to_numpy().astype(float)
+    assert n.sum() == 9 + 2 + 3
+    where, table = lm_score.build(keys, n)
+    assert np.allclose((10.0 ** table.astype(float)).sum(1), 1)
+
+    def weighted(prefix, d, node):  # log P_w of a bit node in the context with these first digits
+        own = keys >> 8 >> (6 * (lm_score.DEPTH - d)) == prefix
+        level = node.bit_length() - 1
+        mine = own & (((keys & 255) | 256) >> (8 - level) == node)
+        ones = n[mine & (((keys & 255) >> (7 - level)) & 1 == 1)].sum()
+        zeros = n[mine].sum() - ones
+        pe = sum(np.log((i + 0.5)) for i in np.arange(zeros)) + sum(np.log(i + 0.5) for i in np.arange(ones)) - sum(np.log(i + 1.0) for i in np.arange(zeros + ones))
+        kt = (ones + 0.5) / (zeros + ones + 1)
+        if d == lm_score.DEPTH or not mine.any():
+            return pe, kt, 1.0
+        rest = sum(weighted(c, d + 1, node)[0] for c in np.unique(keys[mine] >> 8 >> (6 * (lm_score.DEPTH - d - 1))))
+        both = np.logaddexp(np.log(0.5) + pe, np.log(0.5) + rest)
+        return both, kt, np.exp(np.log(0.5) + pe - both)
+
+    context = int(keys[np.argmax(n)] >> 8)
+    expected = np.zeros(256)
+    for byte in range(256):
+        for level in range(8):
+            node = (byte | 256) >> (8 - level)
+            p = 0.5
+            for d in range(lm_score.DEPTH, -1, -1):
+                _, kt, stay = weighted(context >> (6 * (lm_score.DEPTH - d)), d, node)
+                p = kt if d == lm_score.DEPTH else stay * kt + (1 - stay) * p
+            expected[byte] += np.log10(p if byte >> (7 - level) & 1 else 1 - p)
+    assert np.allclose(table[where[context]], expected, atol=1e-5)
+
+
+def test_long_texts_score_like_slices(monkeypatch):
+    raw, offsets = buffers(pa.array([b"ab" * 500, b"xyz", b""]))
+    whole = [k for k, _, _ in lm_score.coded(raw, offsets)]
+    monkeypatch.setattr(lm_score, "groups", lambda o: iter([(0, 1), (1, 3)]))
+    monkeypatch.setattr(lm_score, "SLICE_BYTES", 64)
+    parts = [k for k, _, _ in lm_score.coded(raw, offsets)]
+    assert (np.concatenate(whole) == np.concatenate(parts)).all() and len(parts) > 10
+
+
+def test_hilbert_curve_visits_every_cell_by_steps_of_one():
+    points = np.array(np.meshgrid(*[np.arange(8)] * 3)).reshape(3, -1).T
+    keys = packing.hilbert(points, 3)
+    assert sorted(keys) == list(range(512))
+    assert (np.abs(np.diff(points[np.argsort(keys)], axis=0)).sum(1) == 1).all()
+
+
+def test_png_round_trip_and_damage():
+    raw = media.payload(bytes(range(256)) * 3 + b"end")
+    png = media.encode_png(raw)
+    assert media.decode_png(png).tobytes() == raw
+    for bad in (png[:-20], b"GIF", png[:60] + b"\x00\x01" + png[62:]):
+        with pytest.raises((ValueError, Exception)):
+            media.decode_png(bad)
+
+
+def test_member_is_read_again_by_its_offset():
+    store = io.BytesIO()
+    with zipfile.ZipFile(store, "w") as archive:
+        for k in range(3):
+            info = zipfile.ZipInfo(f"{k}.png")
+            info.comment = f"[{k}, 5]".encode()
+            archive.writestr(info, b"data%d" % k)
+    good, opened = store.getvalue(), []
+
+    class Broken(io.BytesIO):
+        def read(self, n=-1):
+            raise OSError("gone")
+
+    def reopen():
+        opened.append(1)
+        return Broken(good) if len(opened) < 2 else io.BytesIO(good)
+
+    members = media.members_in(io.BytesIO(good), 0, 1 << 30)
+    assert [m[3:] for m in members] == [(0, 5), (1, 5), (2, 5)]
+    offset, size, crc, _, _ = members[1]
+    assert media.read_member(reopen, Broken(good), offset, size, crc)[1] == b"data1" and len(opened) == 2
+    assert [m[3] for m in media.members_in(io.BytesIO(good), offset, members[2][0])] == [1]
+    with pytest.raises(ValueError):
+        media.read_member(lambda: io.BytesIO(good), io.BytesIO(good), offset, size, crc + 1)
+
+
+def test_random_runs_and_identifiers():
+    assert secret_scan.looks_random("qX7tR9vLw2ZkP8sNf4JdH3mB")
+    assert not secret_scan.looks_random("d41d8cd98f00b204e9800998ecf8427e")
+    assert not secret_scan.looks_random("get_user_by_primary_key_2024")
+    assert not secret_scan.looks_random("internationalizationhandler")
+    text = "x password=hunter22aa. y qX7tR9vLw2ZkP8sNf4JdH3mB z"
+    spans = secret_scan.all_spans(text, secret_scan.base_spans(text))
+    assert secret_scan.redacted(text, spans) == "x [SECRET] y [SECRET] z"
+
+
+def test_budget_goes_to_siblings_before_ancestors(spark):
+    rows = [(k, "abcd" * n, lang, src) for k, (n, lang, src) in enumerate([(10, "en", "src0"), (1000, "en", "src2"), (500, "de", "src2"), (2000, "en", "src1")])]
+    docs = mixing.tree_columns(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    mix = mixing.Mix(budget_permille=400, max_epochs=1, domain={"web": 500, "curated": 500}, lang={"en": 500, "de": 500}, source={"src0": 500, "src2": 500})
+    got = {(r["m_lang"], r["m_source"]): r["m_budget"] for r in mixing.budgets(docs, mix).collect()}
+    # 1404 tokens: 702 for each domain, 351 for each language of the web; src0 has 10, its sibling takes the other 341.
+    assert got == {("en", "src1"): 702, ("de", "src2"): 351, ("en", "src0"): 10, ("en", "src2"): 341}
+
+
+def test_urls(spark):
+    urls = ["HTTP://WWW.Example.ORG/es/1?utm_source=a&x=1#t", "https://a.com/fr/", "b.org/x", None, "https://example.org/en/12", "https://q.net/de", "https://m.q.net/de/?utm_a=1"]
+    pages = url_filter.with_rules(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+    keys = spark.createDataFrame([("q.net/de",), (None,), ("q.net/de",)], "u_key string")
+    got = {r["page_id"]: r for r in url_filter.listed(pages, keys).collect()}
+    assert got[0]["u_key"] == "example.org/es/1?x=1" and got[0]["u_rule"] == "example.org/es/"
+    assert (got[2]["u_host"], got[2]["u_path"], got[3]["u_host"]) == ("", "", "")
+    assert [got[k]["u_rule_verdict"] for k in range(6)] == ["block", "allow", None, None, "block", None]
+    assert [got[k]["u_listed"] for k in range(7)] == [False] * 5 + [True] * 2
+    empty = url_filter.listed(pages, keys.filter("false")).collect()
+    assert len(empty) == 7 and not any(r["u_listed"] for r in empty)
