@@ -13,6 +13,8 @@ SLICE_BYTES = 1 << 20
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a binary or string array without nulls; offsets start at 0."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
     _, where, data = column.buffers()
     kind = np.int64 if wide else np.int32
