@@ -27,6 +27,11 @@ CRITICAL_KEYWORDS = (
 )
 LOW, WESTERN, AMBIGUOUS = 0.90, 0.97, 0.94
 REPLACED, MISSING, ADDED = "替换", "缺少", "新增"
+REPLACED_LINE, MISSING_LINE, ADDED_LINE = "替换：原图「%s」 → 重排图「%s」", "重排图缺少：「%s」", "重排图新增：「%s」"
+REGION_PREFIX = r"^区域\s+\d+："
+REVIEW_MARK = " 二次复核"
+OUTPUT_LINE = "%6.2f%%  [%s/%s%s]  bbox=(%d, %d, %d, %d)  %s"
+REPORT_HEAD, REPORT_CRITICAL, REPORT_NONE = "===== 文字差异 =====", "【关键】", "未发现文字或标点差异。"
 # ---- End of fixed values ----
 
 LANGUAGES = tuple(LANGUAGE_WORDS)
@@ -145,7 +150,7 @@ def replacements(text: Column, language: Column) -> Column:
 
 def critical(difference: Column) -> Column:
     """A replaced, missing or added text with a digit or a keyword; the number of the region doesn't count."""
-    content = F.regexp_replace(difference, r"^区域\s+\d+：", "")
+    content = F.regexp_replace(difference, REGION_PREFIX, "")
     important = content.startswith(REPLACED) | content.contains(MISSING) | content.contains(ADDED)
     word = F.lit(False)
     for k in CRITICAL_KEYWORDS:
@@ -165,5 +170,5 @@ def review_needed(text: Column, confidence: Column, language: Column, conflict:
 
 def output_line(text: Column, confidence: Column, language: Column, reviewed: Column, box: list[Column]) -> Column:
     names = F.create_map(*[F.lit(x) for kv in LANGUAGE_NAMES.items() for x in kv])
-    mark = F.when(reviewed, " 二次复核").otherwise("")
-    return F.format_string("%6.2f%%  [%s/%s%s]  bbox=(%d, %d, %d, %d)  %s", confidence * 100, language, F.coalesce(F.element_at(names, language), language), mark, *box, text)
+    mark = F.when(reviewed, REVIEW_MARK).otherwise("")
+    return F.format_string(OUTPUT_LINE, confidence * 100, language, F.coalesce(F.element_at(names, language), language), mark, *box, text)

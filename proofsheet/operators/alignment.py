@@ -10,6 +10,7 @@ KEEP_RATIO, MIN_MATCHES = 0.25, 8
 MIN_INLIERS, MAX_ROTATION, MIN_SCALE, MAX_SCALE = 0.20, 10.0, 0.85, 1.15
 MOVED_RATIO, MOVED_PIXELS, MOVED_ROTATION, MOVED_SCALE = 0.005, 3.0, 0.5, 0.01
 REACH = 3.0
+FEW_INLIERS, TURNED, SCALED, JOINED = "RANSAC 内点比例过低: %.1f%% < 20.0%%", "旋转角度异常: %.2f°", "缩放比例异常: %.4f", "；"
 
 
 def distance(a: str, b: str) -> Column:
@@ -45,11 +46,11 @@ def decomposed(a: Column, b: Column) -> tuple[Column, Column]:
 def rejection(inlier_ratio: Column, rotation: Column, scale: Column) -> Column:
     """Reasons why a transform is not trusted, joined; empty if it is."""
     reasons = (
-        F.when(inlier_ratio < MIN_INLIERS, F.format_string("RANSAC 内点比例过低: %.1f%% < 20.0%%", inlier_ratio * 100)),
-        F.when(F.abs(rotation) > MAX_ROTATION, F.format_string("旋转角度异常: %.2f°", rotation)),
-        F.when((scale < MIN_SCALE) | (scale > MAX_SCALE), F.format_string("缩放比例异常: %.4f", scale)),
+        F.when(inlier_ratio < MIN_INLIERS, F.format_string(FEW_INLIERS, inlier_ratio * 100)),
+        F.when(F.abs(rotation) > MAX_ROTATION, F.format_string(TURNED, rotation)),
+        F.when((scale < MIN_SCALE) | (scale > MAX_SCALE), F.format_string(SCALED, scale)),
     )
-    return F.concat_ws("；", *reasons)
+    return F.concat_ws(JOINED, *reasons)
 
 
 def movement(x: Column, y: Column, rotation: Column, scale: Column, success: Column, width: Column, height: Column) -> dict[str, Column]:

@@ -81,11 +81,8 @@ def differences(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def difference_line() -> Column:
     """A difference as a line of the report."""
     a, b = F.col("a_text"), F.col("b_text")
-    return (
-        F.when(F.col("kind") == "replace", F.concat(F.lit("替换：原图「"), a, F.lit("」 → 重排图「"), b, F.lit("」")))
-        .when(F.col("kind") == "missing", F.concat(F.lit("重排图缺少：「"), a, F.lit("」")))
-        .otherwise(F.concat(F.lit("重排图新增：「"), b, F.lit("」")))
-    )
+    other = F.when(F.col("kind") == "missing", F.format_string(tx.MISSING_LINE, a)).otherwise(F.format_string(tx.ADDED_LINE, b))
+    return F.when(F.col("kind") == "replace", F.format_string(tx.REPLACED_LINE, a, b)).otherwise(other)
 
 
 def analysed(lines: DataFrame) -> DataFrame:

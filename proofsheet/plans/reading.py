@@ -211,7 +211,7 @@ def review_candidate_apply(t: Relations) -> DataFrame:
 
 
 _NAME = "CASE language " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tx.LANGUAGE_NAMES.items()) + " END"
-_LINE = f"printf('%6.2f%%', confidence * 100) || '  [' || language || '/' || {_NAME} || CASE WHEN pos % 5 = 0 THEN ' 二次复核' ELSE '' END || ']  bbox=(' || x1 || ', ' || y1 || ', ' || x2 || ', ' || y2 || ')  ' || text"
+_LINE = f"printf('%6.2f%%', confidence * 100) || '  [' || language || '/' || {_NAME} || CASE WHEN pos % 5 = 0 THEN '{tx.REVIEW_MARK}' ELSE '' END || ']  bbox=(' || x1 || ', ' || y1 || ', ' || x2 || ', ' || y2 || ')  ' || text"
 
 
 def formatted(t: Relations) -> DataFrame:
@@ -232,15 +232,15 @@ def ocr_report(t: Relations) -> DataFrame:
 
 @query(
     "conv_id long, turn long, report string",
-    f"""WITH RECURSIVE {_DIFF}, body AS (SELECT conv_id, turn, string_agg(number || '. ' || CASE WHEN {_CRITICAL} THEN '【关键】' ELSE '' END || line, chr(10) ORDER BY number) AS s FROM diff GROUP BY conv_id, turn)
-    SELECT p.conv_id, p.turn, '===== 文字差异 =====' || chr(10) || coalesce(s, '未发现文字或标点差异。') AS report FROM pair p LEFT JOIN body ON body.conv_id = p.conv_id AND body.turn = p.turn""",
+    f"""WITH RECURSIVE {_DIFF}, body AS (SELECT conv_id, turn, string_agg(number || '. ' || CASE WHEN {_CRITICAL} THEN '{tx.REPORT_CRITICAL}' ELSE '' END || line, chr(10) ORDER BY number) AS s FROM diff GROUP BY conv_id, turn)
+    SELECT p.conv_id, p.turn, '{tx.REPORT_HEAD}' || chr(10) || coalesce(s, '{tx.REPORT_NONE}') AS report FROM pair p LEFT JOIN body ON body.conv_id = p.conv_id AND body.turn = p.turn""",
 )
 def comparison_report(t: Relations) -> DataFrame:
-    mark = F.when(tx.critical(F.col("line")), "【关键】").otherwise("")
+    mark = F.when(tx.critical(F.col("line")), tx.REPORT_CRITICAL).otherwise("")
     row = F.struct("number", F.concat(F.col("number").cast("string"), F.lit(". "), mark, F.col("line")).alias("s"))
     body = found_differences(t).groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["s"]), "\n").alias("s"))
-    none = F.lit("未发现文字或标点差异。")
-    return t.text_pair.select("conv_id", "turn").join(body, ["conv_id", "turn"], "left").withColumn("report", F.concat_ws("\n", F.lit("===== 文字差异 ====="), F.coalesce("s", none)))
+    none = F.lit(tx.REPORT_NONE)
+    return t.text_pair.select("conv_id", "turn").join(body, ["conv_id", "turn"], "left").withColumn("report", F.concat_ws("\n", F.lit(tx.REPORT_HEAD), F.coalesce("s", none)))
 
 
 @query("lines long, unsure long, languages long, pages long", f"WITH {_LINES}, a AS ({_analysed('every')}) SELECT count(*) AS lines, count(*) FILTER (confidence < 0.9) AS unsure, count(DISTINCT language) AS languages, count(DISTINCT doc_id) AS pages FROM a")
