@@ -88,9 +88,10 @@ def difference_line() -> Column:
 def analysed(lines: DataFrame) -> DataFrame:
     """Append the counts of scripts, score_* of each language, language and conflict."""
     text = F.trim("text")
-    df = lines.withColumns(tx.script_counts(text)).withColumns({f"score_{k}": v for k, v in tx.language_scores(text).items()})
-    language, conflict = tx.analysis({k: F.col(k) for k in tx.SCRIPTS}, {k: F.col(f"score_{k}") for k in tx.LANGUAGES}, text)
-    return df.withColumns({"language": language, "conflict": conflict})
+    df = lines.withColumns({**tx.script_counts(text), "a_words": tx.words(text)})
+    df = df.withColumns({f"score_{k}": v for k, v in tx.language_scores(text, F.col("a_words")).items()})
+    language, conflict = tx.analysis({k: F.col(k) for k in tx.SCRIPTS}, {k: F.col(f"score_{k}") for k in tx.LANGUAGES}, text, F.size("a_words"))
+    return df.withColumns({"language": language, "conflict": conflict}).drop("a_words")
 
 
 def _counted() -> dict[str, Column]:
