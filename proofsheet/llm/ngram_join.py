@@ -6,8 +6,9 @@ or more. BANDS bands of ROWS minima are the candidates' keys; numbers chosen so
 band with probability 1 - (1 - THRESHOLD ** ROWS) ** BANDS > 0.999, and a pair at half similarity with 0.14.
 
 1. Documents with equal sets form a class at once; only one of each goes on, with the class's size as its weight.
-2. Band hashes are shuffled; within a bucket members point to its least one (a star, never all pairs), and connected
-   components of these stars bring all candidates of a class together.
+2. Band hashes are shuffled; buckets with more than one set are kept, and within a bucket members point to its least one
+   (a star, never all pairs); connected components of these stars bring all candidates of a class together. Filters of
+   bounded size keep band hashes and texts that can't matter out of the later joins.
 3. Each component's full sets are compared in blocks of BLOCK members: a task has one pair of blocks. Pairs that share a
    band are verified on the full sets inside the task, and only sums of links and a spanning forest leave it, so rows
    stay linear in members and blocks although every link is found.
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import buffers
+from .bloom import bloom, possible
 from .common import written
 from .components import components
 
@@ -284,12 +286,16 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows
     signed = texts.select("doc_id", "rk", F.coalesce("text", F.lit("")).cast("binary").alias("t")).mapInArrow(_signatures(bands, rows), SIGNATURES)
     signed = written(signed, "signatures")
     some = signed.filter("n_shingles > 0")
-    sets = some.groupBy("h1", "h2").agg(F.count("*").alias("size"), F.min("doc_id").alias("least_id"), F.min("rk").alias("rk"))
-    sets = written(sets, "sets")
-
-    keys = some.select("h1", F.posexplode("bands").alias("band", "key")).distinct()
-    buckets = keys.groupBy("band", "key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("band", "key", "lo")
-    stars = keys.join(buckets, ["band", "key"]).filter("h1 > lo").select(F.col("h1").alias("a"), F.col("lo").alias("b"))
+    sets = some.groupBy("h1", "h2").agg(F.count("*").alias("size"), F.min("doc_id").alias("least_id"), F.min("rk").alias("rk"), F.first("bands").alias("bands"))
+    with_bands = written(sets, "sets")
+    sets = with_bands.drop("bands")
+
+    # Nearly all buckets hold one set. Those with more are counted first; a filter of their keys then keeps the rest out
+    # of the join.
+    keys = with_bands.select("h1", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("key", "lo")
+    buckets = written(buckets, "buckets")
+    stars = possible(keys, "key", bloom(buckets, "key")).join(buckets, "key").filter("h1 > lo").select(F.col("h1").alias("a"), F.col("lo").alias("b"))
     labels = components(stars)
 
     labels = labels.withColumnRenamed("node", "h1").withColumnRenamed("root", "label")
@@ -297,7 +303,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows
     blocks = members.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
     members = members.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("n_blocks")).cast("int"))
     wanted = members.select("label", "n_blocks", "block", "h1", "h2", "size", "rk")
-    with_text = wanted.join(texts.select("rk", F.coalesce("text", F.lit("")).cast("binary").alias("t")), "rk").dropDuplicates(["rk"])
+    bytes_ = texts.select("rk", F.coalesce("text", F.lit("")).cast("binary").alias("t"))
+    with_text = wanted.join(possible(bytes_, "rk", bloom(wanted, "rk")), "rk").dropDuplicates(["rk"])
     tasks = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     tasks = tasks.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select("label", "i", "j", "h1", "h2", "size", "block", "t")
     found = tasks.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(_verify(bands, rows, threshold), "h1 long, h2 long, n_links long, r1 long, r2 long")

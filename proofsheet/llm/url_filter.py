@@ -15,6 +15,8 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import MAX_BLOCKS, bloom, with_maybe
+
 #: (verdict, host, path). A rule fits its host and all subdomains if the url's path starts with the rule's.
 RULES = (
     ("allow", "org", "/"),
@@ -23,9 +25,7 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-MAX_BLOCKS = 1 << 16
 URLS_PER_BLOCK = 32
-LANES = 8
 
 
 def url_parts(url: Column) -> tuple[Column, Column, Column]:
@@ -55,37 +55,14 @@ def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     return df.withColumns({"u_key": key, "u_rule": rule, "u_rule_verdict": verdict}).drop("u_query")
 
 
-def _block(key: Column, n_blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n_blocks))
-
-
-def _lane_bits(key: Column) -> list[Column]:
-    mixed = F.xxhash64(key, F.lit(1))
-    places = [F.shiftrightunsigned(mixed, 6 * j).bitwiseAND(F.lit(63)).cast("int") for j in range(LANES)]
-    return [F.call_function("shiftleft", F.lit(1).cast("long"), p) for p in places]
-
-
-def bloom(keys: DataFrame, n_blocks: int) -> DataFrame:
-    """keys has one column u_key. One row per used block: u_block and a word per lane."""
-    bits = _lane_bits(F.col("u_key"))
-    words = [F.bit_or(b).alias(f"u_word{j}") for j, b in enumerate(bits)]
-    return keys.groupBy(_block(F.col("u_key"), n_blocks).alias("u_block")).agg(*words)
-
-
 def listed(pages: DataFrame, keys: DataFrame) -> DataFrame:
     """Append u_listed to pages that have u_key: whether it is among keys (column u_key; repeats and nulls are ignored)."""
     keys = keys.select("u_key").filter(F.col("u_key").isNotNull()).distinct()
     n = max(1, min(MAX_BLOCKS, 1 << (keys.count() // URLS_PER_BLOCK).bit_length()))
-    words = bloom(keys, n)
-    bits = _lane_bits(F.col("u_key"))
-    hit = F.lit(True)
-    for j, b in enumerate(bits):
-        hit = hit & (F.col(f"u_word{j}").bitwiseAND(b) == b)
-    maybe = pages.withColumn("u_block", _block(F.col("u_key"), n)).join(F.broadcast(words), "u_block", "left")
-    maybe = maybe.withColumn("u_maybe", F.coalesce(hit & F.col("u_key").isNotNull(), F.lit(False))).drop("u_block", *[f"u_word{j}" for j in range(LANES)])
-    passed = maybe.filter("u_maybe").drop("u_maybe").join(keys.withColumn("u_listed", F.lit(True)).hint("shuffle_hash"), "u_key", "left")
+    maybe = with_maybe(pages, "u_key", bloom(keys, "u_key", n), n)
+    passed = maybe.filter("b_maybe").drop("b_maybe").join(keys.withColumn("u_listed", F.lit(True)).hint("shuffle_hash"), "u_key", "left")
     passed = passed.withColumn("u_listed", F.coalesce("u_listed", F.lit(False)))
-    rest = maybe.filter(~F.col("u_maybe")).drop("u_maybe").withColumn("u_listed", F.lit(False))
+    rest = maybe.filter(~F.col("b_maybe")).drop("b_maybe").withColumn("u_listed", F.lit(False))
     return rest.unionByName(passed)
 
 
