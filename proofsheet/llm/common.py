@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -39,6 +38,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ROW = "whole_row"
+
+
+def wrapped(docs: DataFrame, **extra: Column) -> DataFrame:
+    """docs as one struct column, with the extra columns beside it: no name of docs can clash with names used inside."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW), *[c.alias(n) for n, c in extra.items()])
+
+
+def unwrapped(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of the wrapped rows, some replaced."""
+    return df.select(*[(new[c] if c in new else F.col(ROW).getField(c)).alias(c) for c in columns])
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null where the id is null."""
     return F.crc32(doc_id.cast("string")) % modulus
@@ -61,7 +73,3 @@ def plain_spaces(text: Column) -> Column:
 def words_of(text: Column) -> Column:
     """Array of the maximal runs without ASCII white space."""
     return F.filter(F.split(plain_spaces(text), " "), lambda w: w != "")
-
-
-def cpus() -> int:
-    return os.cpu_count() or 1

@@ -21,6 +21,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import unwrapped, wrapped, written
+
 LEVELS = ("m_domain", "m_lang", "m_source")
 #: A leaf table up to this many rows is broadcast; a longer one is joined on salted keys.
 BROADCAST_LEAVES = 50_000
@@ -122,15 +124,14 @@ def mixed(docs: DataFrame, mix: Mix, leaf_table) -> DataFrame:
 
 def stage(docs: DataFrame, mix: Mix, leaf_table) -> DataFrame:
     """The rows chosen, repeated for each epoch that uses them. Columns as in the input."""
-    df = mixed(docs, mix, leaf_table)
+    inner = wrapped(docs, **{c: F.col(c) for c in ("doc_id", "text", "lang", "source")})
+    df = mixed(inner, mix, leaf_table)
     if mix.max_epochs > 1:
         df = df.withColumn("m_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m_copies"))))
-    return df.select(*docs.columns)
+    return unwrapped(df, docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import written
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     df = mixed(docs, Mix(), written)
     return df.select("doc_id", F.col("m_domain").alias("domain"), F.col("m_lang").alias("lang"), F.col("m_source").alias("source"), F.col("m_tokens").alias("tokens"), F.col("m_budget").alias("leaf_budget"), F.col("m_copies").alias("copies"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import buffers
 from .bloom import bloom, possible
-from .common import written
+from .common import unwrapped, wrapped, written
 from .components import components
 
 N, THRESHOLD = 5, 0.8
@@ -338,11 +338,11 @@ def stage(docs: DataFrame) -> DataFrame:
     heads = classes.filter("h1 = k1 AND h2 = k2").select("h1", "h2")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rk"))
     kept = signed.filter("n_shingles > 0").join(heads, ["h1", "h2"]).groupBy("h1", "h2").agg(best.alias("b")).select(F.col("b.rk").alias("n_rk"))
-    marked = docs.withColumn("n_key", F.xxhash64("doc_id", "text"))
+    marked = wrapped(docs, n_key=F.xxhash64("doc_id", "text"), n_text=F.col("text"))
     once = Window.partitionBy("n_key").orderBy("n_key")
-    chosen = marked.join(kept, F.col("n_key") == F.col("n_rk"), "left_semi").withColumn("n_row", F.row_number().over(once)).filter("n_row = 1")
-    wordless = marked.filter(F.coalesce(F.regexp_like("text", F.lit(r"[^ \t\n\x0b\f\r]")), F.lit(False)) == F.lit(False))
-    return chosen.select(*docs.columns).unionByName(wordless.select(*docs.columns))
+    chosen = marked.drop("n_text").join(kept, F.col("n_key") == F.col("n_rk"), "left_semi").withColumn("n_row", F.row_number().over(once)).filter("n_row = 1")
+    wordless = marked.filter(~F.coalesce(F.regexp_like("n_text", F.lit(r"[^ \t\n\x0b\f\r]")), F.lit(False)))
+    return unwrapped(chosen, docs.columns).unionByName(unwrapped(wordless, docs.columns))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CONTROL_SPACES, count_char, words_of
+from .common import CONTROL_SPACES, count_char, unwrapped, words_of, wrapped
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -62,7 +62,8 @@ def repeated_words(hashes: Column) -> Column:
 
 
 def quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Append q_* columns to docs: counts, base verdict, lines removed, the cleaned text and q_kept."""
+    """Append q_* columns to docs (in place of any of these names): counts, base verdict, lines removed, the cleaned text
+    and q_kept."""
     t = F.coalesce(F.col(text), F.lit(""))
     df = docs.withColumn("q_text", t).withColumn("q_words", words_of(F.col("q_text")))
     df = df.withColumn("q_hashes", F.transform("q_words", lambda w: F.xxhash64(w)))
@@ -94,9 +95,11 @@ def quality(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def stage(docs: DataFrame) -> DataFrame:
     """Kept documents with their failing lines removed; n_chars follows the text. Columns as in the input."""
-    df = quality(docs).filter("q_kept")
-    new = {"text": F.col("q_clean"), "n_chars": F.length("q_clean").cast("long")}
-    return df.select(*[(new[c] if c in new else F.col(c)).alias(c) for c in docs.columns])
+    df = quality(wrapped(docs, q_source=F.col("text")), "q_source")
+    # A filter below the projections would hold all their expressions again, those inside lambdas once an element. It
+    # can't move below a column that is not deterministic.
+    df = df.withColumn("q_row", F.monotonically_increasing_id()).filter(F.col("q_kept") & (F.col("q_row") >= 0))
+    return unwrapped(df, docs.columns, text=F.col("q_clean"), n_chars=F.length("q_clean").cast("long"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,18 +116,18 @@ _LINE_SQL = f"""CASE
   ELSE true END"""
 
 ORACLE = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, string_split(t, chr(10)) AS ls FROM d),
-win AS (SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS g
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, string_split(t, chr(10)) AS ls FROM d),
+win AS (SELECT rid, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS g
         FROM w, unnest(range(1, greatest(len(ws) - {WINDOW - 1}, 0) + 1)) AS r(i) WHERE len(ws) >= {WINDOW}),
-rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
-cov AS (SELECT doc_id, sum(least({WINDOW}, i - coalesce(p, i - {WINDOW}))) AS n_rep
-        FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM rep) GROUP BY doc_id),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM win) WHERE n > 1),
+cov AS (SELECT rid, sum(least({WINDOW}, i - coalesce(p, i - {WINDOW}))) AS n_rep
+        FROM (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS p FROM rep) GROUP BY rid),
 f AS (SELECT w.doc_id, t, len(ws) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
         list_filter(ls, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS worded, ls,
         list_filter(ls, lambda x: {_LINE_SQL}) AS keep, coalesce(n_rep, 0) AS n_rep
-      FROM w LEFT JOIN cov USING (doc_id)),
+      FROM w LEFT JOIN cov USING (rid)),
 g AS (SELECT *, length(regexp_replace(array_to_string(keep, chr(10)), '[\\x20\\x09-\\x0D]', '', 'g')) AS chars_left,
         n_words < {MIN_WORDS} OR 100 * n_rep > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,

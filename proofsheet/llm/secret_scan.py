@@ -112,10 +112,10 @@ NOTHING = hashlib.sha256(b"").hexdigest()
 FOUND = "n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
 
 
-def _scan(vocabulary: str, redact: str | None):
+def _scan(vocabulary: str, source: str, redact: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column("s_text")
+            text = batch.column(source)
             raw, offsets = buffers(text)
             n = batch.num_rows
             counts, digests, spans = np.zeros((4, n), np.int64), [NOTHING] * n, [""] * n
@@ -134,11 +134,11 @@ def _scan(vocabulary: str, redact: str | None):
                 if redact is not None:
                     clean[i] = redacted(t, every)
             if redact is None:
-                kept = [batch.column(c) for c in batch.schema.names if c != "s_text"]
-                names = [c for c in batch.schema.names if c != "s_text"]
+                names = [c for c in batch.schema.names if c != source]
+                kept = [batch.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, counts), pa.array(digests), pa.array(spans)], names=[*names, "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"])
             else:
-                yield _replaced(batch, clean, redact)
+                yield _replaced(batch, clean, source, redact)
 
     return run
 
@@ -156,8 +156,8 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def _replaced(batch: pa.RecordBatch, clean: dict[int, str], column: str) -> pa.RecordBatch:
-    names = [c for c in batch.schema.names if c != "s_text"]
+def _replaced(batch: pa.RecordBatch, clean: dict[int, str], source: str, column: str) -> pa.RecordBatch:
+    names = [c for c in batch.schema.names if c != source]
     arrays = [batch.column(c) for c in names]
     if clean:
         k = names.index(column)
@@ -170,18 +170,28 @@ def _replaced(batch: pa.RecordBatch, clean: dict[int, str], column: str) -> pa.R
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
+def _free(name: str, columns: list[str]) -> str:
+    """name, made longer until no column has it."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def scan(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """docs without its text column, with the counts, base_sha256 and all spans."""
-    keep = [F.col(c) for c in docs.columns if c != text]
-    df = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("s_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text), FOUND])
-    return df.mapInArrow(_scan(vocabulary, None), schema)
+    """docs without its text column, with the counts, base_sha256 and all spans in place of any columns of these names."""
+    made = [f.split()[0] for f in FOUND.split(", ")]
+    keep = [c for c in docs.columns if c != text and c not in made]
+    source = _free("s_text", keep)
+    df = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias(source))
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), FOUND])
+    return df.mapInArrow(_scan(vocabulary, source, None), schema)
 
 
 def stage(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """docs with every span replaced by MARK; n_chars follows. Columns as in the input."""
-    df = docs.withColumn("s_text", F.coalesce(F.col(text), F.lit("")))
-    df = df.mapInArrow(_scan(vocabulary, text), docs.schema)
+    source = _free("s_text", docs.columns)
+    df = docs.withColumn(source, F.coalesce(F.col(text), F.lit("")))
+    df = df.mapInArrow(_scan(vocabulary, source, text), docs.schema)
     return df.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else df
 
 
