@@ -100,14 +100,9 @@ def joined_groups(rows: DataFrame, keys: list[str], tie: str, rule: Callable[[tu
     Boxes of a page are swept from top to bottom; only boxes whose vertical distance is within reach times the greatest
     height can be joined, so the sweep compares neighbours instead of all pairs.
     """
-    names = rows.columns
-
-    def sweep(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["y1", tie], kind="stable").reset_index(drop=True)
-        boxes = [tuple(map(float, b)) for b in zip(frame.x1, frame.y1, frame.x2, frame.y2, strict=True)]
-        ties = frame[tie].tolist()
+    def sweep(boxes: list[tuple], ties: list) -> list:
         up = list(range(len(boxes)))
-        most = reach * max((max(b[3] - b[1], 1.0) for b in boxes), default=0.0)
+        most = reach * max(max(b[3] - b[1], 1.0) for b in boxes)
 
         def find(i: int) -> int:
             while up[i] != i:
@@ -125,11 +120,28 @@ def joined_groups(rows: DataFrame, keys: list[str], tie: str, rule: Callable[[tu
                         x, z = z, x
                     up[z] = x
             open_.append(i)
-        frame["root"] = [ties[find(i)] for i in range(len(boxes))]
-        return frame[[*names, "root"]]
+        return [ties[find(i)] for i in range(len(boxes))]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pages come one after the other; the last page of a batch waits for the next batch."""
+        held = None
+        for frame in frames:
+            if held is not None:
+                frame = pd.concat([held, frame], ignore_index=True)
+            pages = list(zip(*[frame[k].map(repr) for k in keys], strict=True))
+            cuts = [0, *[i for i in range(1, len(pages)) if pages[i] != pages[i - 1]], len(pages)]
+            yield work(frame.iloc[: cuts[-2]], cuts[:-1])
+            held = frame.iloc[cuts[-2] :]
+        if held is not None and len(held):
+            yield work(held, [0, len(held)])
+
+    def work(frame: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+        boxes = list(zip(*[frame[c].astype(float) for c in ("x1", "y1", "x2", "y2")], strict=True))
+        ties = frame[tie].tolist()
+        return frame.assign(root=[r for a, b in zip(cuts, cuts[1:], strict=False) for r in sweep(boxes[a:b], ties[a:b])])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + f", root {rows.schema[tie].dataType.simpleString()}"
-    return rows.groupBy(*keys).applyInPandas(sweep, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "y1", tie).mapInPandas(run, schema)
 
 
 def without_panels(boxes: DataFrame, keys: list[str], tie: str, page_area: float) -> DataFrame:
