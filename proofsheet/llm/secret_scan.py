@@ -2,7 +2,7 @@
 
 A tokenizer's vocabulary packs natural language and code into few tokens; a random string falls apart into
 many. A run of key characters is reported if it has few characters per token, unless it is a known digest (hex
-of a usual digest length, UUID) or an identifier (letters of one case, or parts that are words or numbers).
+of a usual digest length, UUID), an alphabet, or an identifier (parts of one case that mostly tokenize like words, or short numbers).
 
 A first pass over the Arrow bytes finds texts that can match at all: those with a run of MIN_RUN key characters
 or a ``:`` or ``=``. Only these are decoded and searched.
@@ -36,7 +36,9 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 #: At most this many characters per token: random base64 has about 1.5, hex 1.9, identifiers of words 3 and more.
 MAX_CHARS_PER_TOKEN = 2.1
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})")
-IDENTIFIER = re.compile(r"[+/_=-]*(?:(?:[A-Z]?[a-z]{2,}|[A-Z]+|[0-9]+)(?:[+/_=-]+|$))+")
+IDENTIFIER = re.compile(r"[+/_=-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,10})(?:[+/_=-]+|$))+")
+LETTERS = re.compile(r"[A-Za-z]+")
+ALPHABETS = "abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz0123456789+/0123456789abcdefghijklmnopqrstuvwxyz"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Runs are tokenized in parts of this length, which bounds the work on very long ones.
 PART = 256
@@ -61,10 +63,16 @@ def chars_per_token(run: str, vocabulary: str = VOCABULARY) -> float:
     return len(run) / sum(len(enc.encode_ordinary(run[i : i + PART])) for i in range(0, len(run), PART))
 
 
+def of_words(parts: list[str], vocabulary: str = VOCABULARY) -> bool:
+    """Whether half of the letters are in parts that tokenize like words, and no other part is as long as a key."""
+    odd = [x for x in parts if chars_per_token(x, vocabulary) <= MAX_CHARS_PER_TOKEN]
+    return max(map(len, odd), default=0) < MIN_RUN and 2 * sum(map(len, odd)) <= sum(map(len, parts))
+
+
 def looks_random(run: str, vocabulary: str = VOCABULARY) -> bool:
-    if DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run):
+    if DIGEST.fullmatch(run) or run.lower() in ALPHABETS or chars_per_token(run, vocabulary) > MAX_CHARS_PER_TOKEN:
         return False
-    return chars_per_token(run, vocabulary) <= MAX_CHARS_PER_TOKEN
+    return not (IDENTIFIER.fullmatch(run) and of_words(LETTERS.findall(run), vocabulary))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -118,6 +118,16 @@ def test_random_runs_and_identifiers():
     assert secret_scan.redacted(text, spans) == "x [SECRET] y [SECRET] z"
 
 
+def test_random_runs_of_one_case():
+    rng = np.random.default_rng(5)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        for n in (24, 32):
+            keys = ["".join(rng.choice(list(letters), n)) for _ in range(200)]
+            assert sum(map(secret_scan.looks_random, keys)) >= 190
+    for name in ("ERR_CONNECTION_TIMED_OUT_2", "GL_TEXTURE_CUBE_MAP_POSITIVE_X", "2024-01-01-12-30-45-000001", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "donaudampfschifffahrtsgesellschaft"):
+        assert not secret_scan.looks_random(name)
+
+
 def test_budget_goes_to_siblings_before_ancestors(spark):
     rows = [(k, "abcd" * n, lang, src) for k, (n, lang, src) in enumerate([(10, "en", "src0"), (1000, "en", "src2"), (500, "de", "src2"), (2000, "en", "src1")])]
     docs = mixing.tree_columns(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
