@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns plus a token-efficiency test.
 
 A tokenizer's vocabulary packs natural language and code into few tokens; a random string falls apart into
-many. A run of key characters is reported if it has few characters per token, unless it is a known digest (hex
+many. A run of key characters, without what fixed patterns cover, is reported if it has few characters per token as
+a whole, or those of its parts that a window of MIN_RUN characters finds so, unless it is a known digest (hex
 of a usual digest length, UUID), an alphabet, or an identifier (parts of one case that mostly tokenize like words, or short numbers).
 
 A first pass over the Arrow bytes finds texts that can match at all: those with a run of MIN_RUN key characters
@@ -39,6 +40,10 @@ DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-
 IDENTIFIER = re.compile(r"[+/_=-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,10})(?:[+/_=-]+|$))+")
 LETTERS = re.compile(r"[A-Za-z]+")
 ALPHABETS = "abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz0123456789+/0123456789abcdefghijklmnopqrstuvwxyz"
+WHOLE_DIGEST = re.compile(rf"(?<![A-Za-z0-9]){DIGEST.pattern}(?![A-Za-z0-9])")
+SUB_RUN = re.compile(r"[A-Za-z0-9]+")
+NUMBER = re.compile(r"[0-9]{1,10}")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Runs are tokenized in parts of this length, which bounds the work on very long ones.
 PART = 256
@@ -65,7 +70,7 @@ def chars_per_token(run: str, vocabulary: str = VOCABULARY) -> float:
 
 def of_words(parts: list[str], vocabulary: str = VOCABULARY) -> bool:
     """Whether half of the letters are in parts that tokenize like words, and no other part is as long as a key."""
-    odd = [x for x in parts if chars_per_token(x, vocabulary) <= MAX_CHARS_PER_TOKEN]
+    odd = [x for x in parts if chars_per_token(x, vocabulary) <= min(MAX_CHARS_PER_TOKEN, len(x) - 1)]
     return max(map(len, odd), default=0) < MIN_RUN and 2 * sum(map(len, odd)) <= sum(map(len, parts))
 
 
@@ -86,13 +91,74 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def stretches(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Runs without what base spans and digests in them cover; MIN_RUN characters at least."""
+    for m in RUN.finditer(text):
+        at, end = m.span()
+        taken = [(s, e) for s, _, e in base if s < end and at < e]
+        taken += [d.span() for d in WHOLE_DIGEST.finditer(text, at, end)]
+        for s, e in [*sorted(taken), (end, end)]:
+            if s - at >= MIN_RUN:
+                yield at, s
+            at = max(at, e)
+
+
+def dense(run: str, vocabulary: str = VOCABULARY) -> Iterator[tuple[int, int]]:
+    """Parts of a run that look random: those that meet windows of at least MIN_RUN characters in many tokens.
+
+    The windows slide over the tokens of the whole run. A window that meets a part between separators takes all of it and
+    its neighbours that are no words or numbers, as a key must not stay in pieces; words at both ends go again, and paths of mostly words and short numbers go whole.
+    """
+    enc = encoding(vocabulary)
+    ends = np.cumsum([len(enc.decode_single_token_bytes(t)) for i in range(0, len(run), PART) for t in enc.encode_ordinary(run[i : i + PART])])
+    starts = np.concatenate(([0], ends[:-1]))
+    last = np.searchsorted(ends, starts + MIN_RUN)
+    first = np.flatnonzero(last < len(ends))
+    last = last[first]
+    good = ends[last] - starts[first] <= MAX_CHARS_PER_TOKEN * (last - first + 1)
+    inside = np.zeros(len(run) + 1, np.int64)
+    np.add.at(inside, starts[first[good]], 1)
+    np.add.at(inside, ends[last[good]], -1)
+    inside = np.cumsum(inside[:-1]) > 0
+    parts = [m.span() for m in SUB_RUN.finditer(run)]
+    hit = [bool(inside[a:b].any()) for a, b in parts]
+    more = lambda i: hit[i] or not (NUMBER.fullmatch(run[slice(*parts[i])]) or word_like(run[slice(*parts[i])], vocabulary))
+    k = 0
+    while k < len(parts):
+        if not hit[k]:
+            k += 1
+            continue
+        lo = hi = k
+        while lo and more(lo - 1):
+            lo -= 1
+        while hi + 1 < len(parts) and more(hi + 1):
+            hi += 1
+        k = hi + 1
+        while lo < hi and word_like(run[slice(*parts[lo])], vocabulary):
+            lo += 1
+        while lo < hi and word_like(run[slice(*parts[hi])], vocabulary):
+            hi -= 1
+        a, b = parts[lo][0], parts[hi][1]
+        found = [run[slice(*p)] for p in parts[lo : hi + 1]]
+        plain = sum(len(x) for x in found if len(x) <= 3 or NUMBER.fullmatch(x) or word_like(x, vocabulary))
+        if b - a >= MIN_RUN and 2 * plain <= sum(map(len, found)) and looks_random(run[a:b], vocabulary):
+            yield a, b
+
+
+def word_like(part: str, vocabulary: str = VOCABULARY) -> bool:
+    """Whether a part is a word: letters of one case, three characters a token at least."""
+    return len(part) > 3 and WORD.fullmatch(part) is not None and chars_per_token(part, vocabulary) >= 3
+
+
 def all_spans(text: str, base: list[tuple[int, int, int]], vocabulary: str = VOCABULARY) -> list[tuple[int, int, int]]:
-    """Base spans and the random runs that meet none of them."""
+    """Base spans and the random stretches outside them: a stretch as a whole, or its dense parts."""
     more = []
-    for m in RUN.finditer(text):
-        a, b = m.span()
-        if all(b <= s or e <= a for s, _, e in base) and looks_random(m[0], vocabulary):
+    for a, b in stretches(text, base):
+        run = text[a:b]
+        if looks_random(run, vocabulary):
             more.append((a, 3, b))
+        else:
+            more += [(a + s, 3, a + e) for s, e in dense(run, vocabulary)]
     return sorted(base + more)
 
 
