@@ -71,17 +71,16 @@ def movement(x: Column, y: Column, rotation: Column, scale: Column, success: Col
 def fitted(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Similarity transform of point pairs (keys, pair_id, ax, ay, bx, by) from b to a, in closed form with one refit.
 
-    A first hypothesis comes from each pair together with the next one in order; the one with most inliers wins (ties: the
-    first), and least squares over its inliers gives the result. Deterministic, and pairs are only joined with hypotheses
-    of their own key.
+    A hypothesis comes from every two pairs of a key; the one with most inliers wins (ties: the first), and least squares
+    over its inliers gives the result. Deterministic, and pairs are only joined with hypotheses of their own key. Work
+    grows with the cube of a key's pairs, which keep_best holds few.
     """
-    order = Window.partitionBy(*keys).orderBy("pair_id")
-    following = {f"n{c}": F.lead(c).over(order) for c in ("ax", "ay", "bx", "by")}
-    h = pairs.withColumns(following).filter("nax IS NOT NULL")
+    following = pairs.select(*keys, *[F.col(c).alias(f"n{c}") for c in ("pair_id", "ax", "ay", "bx", "by")])
     ux, uy, vx, vy = F.col("nbx") - F.col("bx"), F.col("nby") - F.col("by"), F.col("nax") - F.col("ax"), F.col("nay") - F.col("ay")
-    low = ux * ux + uy * uy
+    low = F.nullif(ux * ux + uy * uy, F.lit(0.0))
+    h = pairs.join(following, keys).filter(F.col("npair_id") > F.col("pair_id"))
     h = h.filter(low > 0).withColumns({"ha": (ux * vx + uy * vy) / low, "hb": (ux * vy - uy * vx) / low})
-    h = h.select(*keys, F.col("pair_id").alias("h_id"), "ha", "hb", (F.col("ax") - F.col("ha") * F.col("bx") + F.col("hb") * F.col("by")).alias("hx"), (F.col("ay") - F.col("hb") * F.col("bx") - F.col("ha") * F.col("by")).alias("hy"))
+    h = h.select(*keys, F.struct("pair_id", "npair_id").alias("h_id"), "ha", "hb", (F.col("ax") - F.col("ha") * F.col("bx") + F.col("hb") * F.col("by")).alias("hx"), (F.col("ay") - F.col("hb") * F.col("bx") - F.col("ha") * F.col("by")).alias("hy"))
     tried = pairs.join(h, keys)
     dx = F.col("ha") * F.col("bx") - F.col("hb") * F.col("by") + F.col("hx") - F.col("ax")
     dy = F.col("hb") * F.col("bx") + F.col("ha") * F.col("by") + F.col("hy") - F.col("ay")

@@ -194,3 +194,15 @@ def test_run_config_is_written_once(spark, tmp_path):
     assert files.write_run_config(spark, path, {"mode": "other"}, "a1") == first
     with pytest.raises(ValueError):
         files.write_run_config(spark, path, {"mode": "fusion"}, "b2")
+
+
+def test_fit_with_alternating_outliers(spark):
+    rng, rows = np.random.default_rng(8), []
+    for pair in range(5):
+        for i in range(12):
+            x, y = map(float, rng.uniform(0, 500, 2))
+            ax, ay = (1.1 * x + 7, 1.1 * y - 4) if i % 2 == 0 else map(float, rng.uniform(0, 500, 2))
+            rows.append((pair, i, ax, ay, x, y))
+    pairs = spark.createDataFrame(rows, "image_pair long, pair_id long, ax double, ay double, bx double, by double")
+    got = al.fitted(pairs, ["image_pair"]).collect()
+    assert len(got) == 5 and all(r["inliers"] >= 6 and abs(r["scale"] - 1.1) < 0.01 and abs(r["x"] - 7) < 3 and abs(r["y"] + 4) < 3 for r in got)
