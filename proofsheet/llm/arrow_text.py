@@ -53,3 +53,28 @@ def spaced(raw: np.ndarray, offsets: np.ndarray, gap: int, fill: int) -> tuple[n
     out = np.full(len(raw) + gap * len(sizes), fill, np.uint8)
     out[np.arange(len(raw)) + np.repeat(gap * np.arange(1, len(sizes) + 1), sizes)] = raw
     return out, starts
+
+
+#: ASCII white space.
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def words(raw: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray]:
+    """(runs without ASCII white space of all rows, how many each row has). cuts: places where a run is cut, too."""
+    n = len(raw)
+    if not n:
+        return pa.array([], pa.large_binary()), np.zeros(len(offsets) - 1, np.int64)
+    inside = ~SPACE[raw]
+    new = np.zeros(n + 1, bool)
+    if cuts is not None:
+        new[:n] = cuts
+    new[offsets] = True
+    begins, ends = new[:-1].copy(), new[1:].copy()
+    begins[1:] |= ~inside[:-1]
+    ends[:-1] |= ~inside[1:]
+    starts = np.flatnonzero(begins & inside)
+    sizes = np.flatnonzero(ends & inside) + 1 - starts
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(raw[inside])])
+    return found, np.diff(np.searchsorted(starts, offsets))

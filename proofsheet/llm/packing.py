@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow_text import buffers, groups
+from .arrow_text import buffers, groups, words
 from .common import written
 
 TOKENIZER = "word_bpe_49k.json"
@@ -64,7 +64,6 @@ def marked(*ranges: tuple[int, int]) -> np.ndarray:
     return out
 
 
-SPACE = marked((9, 13), (32, 32))
 SMALL, CAPITAL = marked((97, 122)), marked((65, 90))
 #: Second bytes of the Latin letters of two bytes whose first one is LEAD.
 LEAD, SMALL_2, CAPITAL_2 = 0xC3, marked((0x9F, 0xB6), (0xB8, 0xBF)), marked((0x80, 0x96), (0x98, 0x9E))
@@ -84,22 +83,10 @@ def after_lead(raw: np.ndarray) -> np.ndarray:
 def cut_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """(pieces of the words of all rows, how many each row has). A word is cut where a sign follows a Latin letter, which
     the tokenizer's pattern always tells apart."""
-    n = len(raw)
-    if not n:
-        return pa.array([], pa.large_binary()), np.zeros(len(offsets) - 1, np.int64)
-    inside = ~SPACE[raw]
     letter = (SMALL | CAPITAL)[raw] | (after_lead(raw) & (SMALL_2 | CAPITAL_2)[raw])
-    new = np.zeros(n + 1, bool)
-    new[1:n] = letter[:-1] & CUT_BEFORE[raw[1:]]
-    new[offsets] = True
-    begins, ends = new[:-1].copy(), new[1:].copy()
-    begins[1:] |= ~inside[:-1]
-    ends[:-1] |= ~inside[1:]
-    starts = np.flatnonzero(begins & inside)
-    sizes = np.flatnonzero(ends & inside) + 1 - starts
-    at = np.concatenate(([0], np.cumsum(sizes)))
-    pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(raw[inside])])
-    return pieces, np.diff(np.searchsorted(starts, offsets))
+    cuts = np.zeros(len(raw), bool)
+    cuts[1:] = letter[:-1] & CUT_BEFORE[raw[1:]]
+    return words(raw, offsets, cuts)
 
 
 class Merges:
@@ -318,15 +305,15 @@ def _kind(wide: bool) -> str:
 
 def _tokenize(tokenizer: str, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, kind = words_of(tokenizer), np.dtype(_kind(wide))
-        n_ids = words.tokenizer.get_vocab_size()
+        of, kind = words_of(tokenizer), np.dtype(_kind(wide))
+        n_ids = of.tokenizer.get_vocab_size()
         if n_ids > 1 << 8 * kind.itemsize:
             raise ValueError(f"{tokenizer} has {n_ids} ids: wide=True is needed")
         for batch in batches:
             column = batch.column("t")
             _, offsets = buffers(column)
             for first, last in groups(offsets, WORD_BYTES):
-                ids, at = words.tokens(column.slice(first, last - first))
+                ids, at = of.tokens(column.slice(first, last - first))
                 keys = hilbert(coordinates(ids, at, max(1 << 16, n_ids)))
                 data = pa.Array.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer((at * kind.itemsize).astype(np.int64)), pa.py_buffer(ids.astype(kind))])
                 rows = batch.slice(first, last - first)
@@ -397,7 +384,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, wide: bool = False) -> Dat
     """docs(doc_id, text) -> one row for each piece: its ids are those of its document from start on."""
     rows = written(tokenized(docs, tokenizer, wide), "pack-tokens")  # the ties are as they are written from here on
     n_tokens = rows.agg(F.sum("n")).first()[0] or 0
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-n_tokens // TASK_TOKENS))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_tokens // TASK_TOKENS))
     return rows.select("key", "tie", "doc_id", "ids").repartitionByRange(parts, "key", "tie").sortWithinPartitions("key", "tie", "doc_id").mapInArrow(_pack(wide), PIECES)
 
 

@@ -1,11 +1,13 @@
 """Inner workings: models sum to one, curves are bijections, damaged members are read again."""
 
 import io
+import math
 import zipfile
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from proofsheet.llm import language_id, lm_score, media, mixing, packing, secret_scan, url_filter
 from proofsheet.llm.arrow_text import buffers
@@ -22,48 +24,127 @@ def test_ppm_probabilities_sum_to_one():
     assert bits[3, 0] > 3e5 * bits[0, 0] / 1.2  # a text longer than a slice is scored whole
 
 
-def test_context_tree_weighting_sums_to_one_and_equals_recursion():
-    rows = pa.RecordBatch.from_arrays([pa.array([b"abab abab", b"", b"ab"], pa.binary())], names=["t"])
-    counts = pa.Table.from_batches(lm_score._count_keys(iter([rows])))
-    keys, n = counts.column("key").to_numpy().astype(np.int64), counts.column("n").to_numpy().astype(float)
-    assert n.sum() == 9 + 2 + 3
-    where, table = lm_score.build(keys, n)
-    assert np.allclose((10.0 ** table.astype(float)).sum(1), 1)
-
-    def weighted(prefix, d, node):  # log P_w of a bit node in the context with these first digits
-        own = keys >> 8 >> (6 * (lm_score.DEPTH - d)) == prefix
-        level = node.bit_length() - 1
-        mine = own & (((keys & 255) | 256) >> (8 - level) == node)
-        ones = n[mine & (((keys & 255) >> (7 - level)) & 1 == 1)].sum()
-        zeros = n[mine].sum() - ones
-        pe = sum(np.log((i + 0.5)) for i in np.arange(zeros)) + sum(np.log(i + 0.5) for i in np.arange(ones)) - sum(np.log(i + 1.0) for i in np.arange(zeros + ones))
-        kt = (ones + 0.5) / (zeros + ones + 1)
-        if d == lm_score.DEPTH or not mine.any():
-            return pe, kt, 1.0
-        rest = sum(weighted(c, d + 1, node)[0] for c in np.unique(keys[mine] >> 8 >> (6 * (lm_score.DEPTH - d - 1))))
-        both = np.logaddexp(np.log(0.5) + pe, np.log(0.5) + rest)
-        return both, kt, np.exp(np.log(0.5) + pe - both)
-
-    context = int(keys[np.argmax(n)] >> 8)
-    expected = np.zeros(256)
-    for byte in range(256):
-        for level in range(8):
-            node = (byte | 256) >> (8 - level)
-            p = 0.5
+def asked(texts, train):
+    block = lm_score.Block()
+    block.add(np.array(train), pa.array(texts, pa.binary()))
+    return block
+
+
+def ctw(texts):
+    """Plain context-tree weighting: a dictionary of counts for every context and decision, and a recursion."""
+    counts, children = {}, {}
+    for t in texts:
+        x = b"\xff" * lm_score.DEPTH + t.lower() + b"\xff"
+        for i in range(lm_score.DEPTH, len(x)):
+            for d in range(lm_score.DEPTH + 1):
+                c = x[i - d : i]
+                if d:
+                    children.setdefault(c[1:], set()).add(c)
+                for bit in range(8):
+                    k = counts.setdefault((c, (256 | x[i]) >> (8 - bit)), [0, 0])
+                    k[x[i] >> (7 - bit) & 1] += 1
+
+    def weighted(c, node):
+        n = counts.get((c, node))
+        if n is None:
+            return 0.0, 0.5, 0.5
+        own = math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - math.lgamma(sum(n) + 1) - math.log(math.pi)
+        kt = (n[1] + 0.5) / (sum(n) + 1)
+        if len(c) == lm_score.DEPTH:
+            return own, kt, 1.0
+        both = np.logaddexp(math.log(0.5) + own, math.log(0.5) + sum(weighted(k, node)[0] for k in children.get(c, ())))
+        return both, kt, math.exp(math.log(0.5) + own - both)
+
+    def log_p(context, byte):
+        out = 0.0
+        for bit in range(8):
+            node, p = (256 | byte) >> (8 - bit), 0.5
             for d in range(lm_score.DEPTH, -1, -1):
-                _, kt, stay = weighted(context >> (6 * (lm_score.DEPTH - d)), d, node)
-                p = kt if d == lm_score.DEPTH else stay * kt + (1 - stay) * p
-            expected[byte] += np.log10(p if byte >> (7 - level) & 1 else 1 - p)
-    assert np.allclose(table[where[context]], expected, atol=1e-5)
+                _, kt, stay = weighted(context[lm_score.DEPTH - d :], node)
+                p = stay * kt + (1 - stay) * p
+            out += math.log10(p if byte >> (7 - bit) & 1 else 1 - p)
+        return out
+
+    return log_p
+
+
+def test_context_tree_weighting_equals_recursion_and_sums_to_one():
+    train, other = [b"abab ABab", b"", b"ab", "\u00e4b \u00e9".encode()], [b"abba", b"zz top", "\u00e9\u4e2d".encode()]
+    block = asked(train + other, [True] * 4 + [False] * 3)
+    keys, counts = block.all_keys()
+    assert counts.sum() == sum(map(len, train)) + len(train) and (counts == 0).any()
+    for n_parts in (1, 5):
+        parts = lm_score.key_parts(keys, n_parts)
+        sums = [c for p in range(n_parts) if counts[parts == p].any() for c in lm_score.Subtrees(keys[(parts == p) & (counts > 0)], counts[(parts == p) & (counts > 0)]).sums()]
+        top = lm_score.Top(*map(np.concatenate, zip(*sums, strict=True)))
+        log_p = ctw(train)
+        for p in range(n_parts):
+            mine = keys[parts == p]
+            got = lm_score.Subtrees(mine, counts[parts == p]).code_lengths(top) if len(mine) else []
+            for k, g in zip(mine.tolist(), got, strict=True):
+                context = (k >> 8).to_bytes(lm_score.DEPTH, "big")[::-1]
+                assert math.isclose(g, log_p(context, k & 255), rel_tol=1e-5)
+    every = np.sort(np.array([int.from_bytes(b"baba b"[::-1], "big") << 8 | b for b in range(256)], np.uint64))
+    n = np.zeros(256)
+    known = np.isin(every, keys)
+    n[known] = counts[np.searchsorted(keys, every[known])]
+    more, total, _ = lm_score.summed(np.concatenate((keys, every)), np.concatenate((counts, np.zeros(256))))
+    got = lm_score.Subtrees(more, total).code_lengths(top)[np.searchsorted(more, every)]
+    assert math.isclose((10**got).sum(), 1, rel_tol=1e-5)
 
 
 def test_long_texts_score_like_slices(monkeypatch):
     raw, offsets = buffers(pa.array([b"ab" * 500, b"xyz", b""]))
     whole = [k for k, _, _ in lm_score.coded(raw, offsets)]
+    rows = np.concatenate([r + f for _, r, f in lm_score.coded(raw, offsets)])
+    assert rows.tolist() == [0] * 1001 + [1] * 4 + [2]
     monkeypatch.setattr(lm_score, "groups", lambda o: iter([(0, 1), (1, 3)]))
     monkeypatch.setattr(lm_score, "SLICE_BYTES", 64)
     parts = [k for k, _, _ in lm_score.coded(raw, offsets)]
     assert (np.concatenate(whole) == np.concatenate(parts)).all() and len(parts) > 10
+    monkeypatch.setattr(lm_score, "ROWS", 1)
+    assert (np.concatenate(whole) == np.concatenate([k for k, _, _ in lm_score.coded(raw, offsets)])).all()
+
+
+def test_words_and_numbers_survive_packing():
+    words = pa.array([b"a", "\u00e9t\u00e9".encode(), b"x" * 5000], pa.large_binary())
+    assert lm_score.words_unpacked(*lm_score.words_packed(words)).equals(words)
+    for a in (np.array([1, 2**63], np.uint64), np.array([], np.float32), np.array([0.5, -3], np.float32)):
+        assert (lm_score.unpacked(lm_score.packed(a), len(a), a.dtype) == a).all()
+
+
+def test_contexts_grow_with_the_text():
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("abcdefghij "), 400)).encode() for _ in range(200)]
+    few, many = (len(asked(texts[:n], [True] * n).all_keys()[0]) for n in (20, 200))
+    assert many > 8 * few
+
+
+def test_scores_over_many_blocks_equal_recursion(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["the", "cat", "\u00c9t\u00e9", "sat", "on", "a", "MAT"], rng.integers(0, 7))) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[3]), (3, texts[3]), (40, None)]
+    df = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), F.coalesce(F.col("doc_id") % 4 != 1, F.lit(True)), block_bytes=64)
+    lower = [((t or "").encode(), i is not None and i % 4 == 1) for i, t in rows]
+    log_p = ctw([t for t, held_out in lower if not held_out])
+    expected = []
+    for t, _ in lower:
+        x = b"\xff" * lm_score.DEPTH + t.lower() + b"\xff"
+        expected.append(sum(log_p(x[k - lm_score.DEPTH : k], x[k]) for k in range(lm_score.DEPTH, len(x))))
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["score"]) for r in df.collect())
+    want = sorted((i is None, i or 0, e) for (i, _), e in zip(rows, expected, strict=True))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], rtol=1e-5)
+
+
+def test_words_are_cut_and_merged_like_the_tokenizer():
+    words = packing.words_of(packing.TOKENIZER)
+    rng = np.random.default_rng(3)
+    some = list("abcxyzABC\u00c9\u00e9\u00df\u00ff\u00c7\u00f7\u00d7\u00f1'.,|<>{}!-3\u2013\u4e2dK \u0130\u017f\u0338\u0301\x01\x1c \n\u00a0\u2003\u00aa")
+    texts = ["", " \n", "<|ENDOFTEXT|> <|endoftext|>x don't \u00c0\u00c9 \u00e9.. l'homme", "ab" * 300 + "!!"]
+    texts += ["".join(rng.choice(some, rng.integers(1, 25))) for _ in range(3000)]
+    ids, at = words.tokens(pa.array([t.encode() for t in texts], pa.binary()))
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == [*words.ids(t), packing.END_ID]
 
 
 def test_hilbert_curve_visits_every_cell_by_steps_of_one():
