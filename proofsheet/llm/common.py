@@ -51,6 +51,25 @@ def unwrapped(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     return df.select(*[(new[c] if c in new else F.col(ROW).getField(c)).alias(c) for c in columns])
 
 
+#: A key with over one MAX_HEAVY-th of all rows, and over MIN_HEAVY rows, is heavy: there are fewer than MAX_HEAVY of them.
+MAX_HEAVY, MIN_HEAVY = 1000, 1000
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], n: str) -> DataFrame:
+    """Inner join of left to right, which has each key once and says in column n how many rows of left have it.
+
+    The rows of right with a heavy key, fewer than MAX_HEAVY, are broadcast, so that no task gets all rows of such a key;
+    the others are shuffled. Column n is dropped.
+    """
+    total, most = right.agg(F.sum(n), F.max(n)).first()
+    limit = max(MIN_HEAVY, (total or 0) // MAX_HEAVY)
+    if (most or 0) <= limit:
+        return left.join(right.drop(n), on)
+    heavy = right.filter(F.col(n) > limit).drop(n)
+    others = left.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(right.filter(F.col(n) <= limit).drop(n), on)
+    return left.join(F.broadcast(heavy), on).unionByName(others)
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null where the id is null."""
     return F.crc32(doc_id.cast("string")) % modulus

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import skew_join, written
 
 MAX_ROUNDS = 60
 
@@ -13,8 +13,9 @@ MAX_ROUNDS = 60
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) of any ordered type -> (node, root): each node of an edge with the least node of its component.
 
-    A round costs two joins on the edges. Each round is written to shared storage, so that lineage stays short and a
-    lost executor costs one round at most. Null ends and loops are ignored.
+    A round costs two joins on the edges; a node with a large share of all edges is not gathered in one task for them.
+    Each round is written to shared storage, so that lineage stays short and a lost executor costs one round at most.
+    Null ends and loops are ignored; no edges give no rows.
     """
     a, b = F.col("a"), F.col("b")
     edges = edges.filter(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
@@ -26,10 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(a.alias("node"), b.alias("root")).unionByName(edges.select(b.alias("node"), b.alias("root")).distinct())
         before = mark
         both = edges.unionByName(edges.select(b.alias("a"), a.alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter(b > a).select(b.alias("a"), F.col("m").alias("b")).filter(a != b)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = skew_join(both, least, ["a"], "n").filter(b > a).select(b.alias("a"), F.col("m").alias("b")).filter(a != b)
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = skew_join(large, least, ["a"], "n")
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(b.alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         edges = written(small.filter(a != b).distinct(), "edges")
     raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")

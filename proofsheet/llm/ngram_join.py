@@ -6,17 +6,22 @@ or more. BANDS bands of ROWS minima are the candidates' keys; numbers chosen so
 band with probability 1 - (1 - THRESHOLD ** ROWS) ** BANDS > 0.999, and a pair at half similarity with 0.14.
 
 1. Documents with equal sets form a class at once; only one of each goes on, with the class's size as its weight.
-2. Band hashes are shuffled; buckets with more than one set are kept, and within a bucket members point to its least one
-   (a star, never all pairs); connected components of these stars bring all candidates of a class together. Filters of
-   bounded size keep band hashes and texts that can't matter out of the later joins.
-3. Each component's full sets are compared in blocks of BLOCK members: a task has one pair of blocks. Pairs that share a
-   band are verified on the full sets inside the task, and only sums of links and a spanning forest leave it, so rows
-   stay linear in members and blocks although every link is found.
+2. Band hashes are shuffled, and members of a bucket point to its least one (a star, never all pairs); connected components
+   of these stars bring all candidates of a class together. A batch of documents sends each of its band hashes once and
+   links the others of the batch to it at the source, so a bucket with a third of all documents gets one row a batch.
+3. Each component's full sets are compared in one task, or in pairs of blocks if it has over BLOCK members or BLOCK_BYTES
+   of text: texts move once for each block of their component. Pairs that share a band are verified on the full sets
+   inside the task, tile by tile, and only sums of links and a spanning forest leave it, although every link is found.
 4. Components of the verified links are the classes.
 
+Texts without a partner are kept out of the shuffle of step 3 by a Bloom filter as long as the others are not too many for
+one; beyond that all texts move once. Classes and buckets with a large share of all rows are joined by broadcasting them
+(there are few), see ``common.skew_join``.
+
 Defined cases: texts without words (null, empty, white space) have no shingles and no links: each row is a class of its
-own with class_id doc_id; null ids take part, a class_id is the least id that is not null; repeated rows are copies;
-other columns are not read.
+own with class_id doc_id; null ids take part, a class_id is the least id that is not null; repeated rows are copies; a very
+long text is hashed in parts and has a block of its own; an empty table gives no rows; near_duplicates reads doc_id and
+text only, and stage carries all other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,15 +35,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import buffers
-from .bloom import bloom, possible
-from .common import unwrapped, wrapped, written
+from .bloom import possible
+from .common import skew_join, unwrapped, wrapped, written
 from .components import components
 
 N, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 8
-BLOCK = 256
+BLOCK, BLOCK_BYTES = 8192, 8 << 20
+#: Members that are compared with all others at a time, and shingles that are counted at a time.
+TILE, WIDTH = 256, 2048
 #: Bytes of text whose words are hashed at a time.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -134,6 +141,19 @@ def band_hashes(s: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return mixed(h).view(np.int64)
 
 
+def first_of_batch(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which keys are the first of their value, owner of the first one of each key's value)."""
+    _, first, at = np.unique(keys, return_index=True, return_inverse=True)
+    lead = np.zeros(len(keys), bool)
+    lead[first] = True
+    return lead, owner[first[at]]
+
+
+def _lists(values: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
+    """n lists of the values by their row; rows ascend."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(values))
+
+
 def _signatures(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,90 +161,98 @@ def _signatures(bands: int, rows: int):
             n = batch.num_rows
             h = np.zeros((2, n), np.int64)
             size = np.zeros(n, np.int64)
-            keys, at = [], [0]
+            keys = []
             for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 s = shingles(raw[a:b])
                 size[i] = len(s)
                 if len(s):
                     h[:, i] = set_hash(s)
                     keys.append(band_hashes(s, bands, rows))
-                at.append(bands * len(keys))
-            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), pa.array(h[0]), pa.array(h[1]), pa.array(size), lists], names=["doc_id", "rk", "h1", "h2", "n_shingles", "bands"])
+            every = np.concatenate([*keys, np.zeros(0, np.int64)])
+            row = np.repeat(np.flatnonzero(size), bands)
+            lead, to = first_of_batch(every, h[0][row])
+            star = ~lead & (to != h[0][row])
+            columns = [batch.column("doc_id"), batch.column("rk"), *map(pa.array, (h[0], h[1], size, np.diff(offsets))), _lists(every[lead], row[lead], n), _lists(to[star], row[star], n)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rk", "h1", "h2", "n_shingles", "n_bytes", "bands", "stars"])
 
     return run
 
 
-SIGNATURES = "doc_id long, rk long, h1 long, h2 long, n_shingles long, bands array<long>"
-
-
-def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of sets a[k] and b[k]."""
-    members = np.unique(np.concatenate((a, b)))
-    if len(a) <= 3 * len(members):
-        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
-    # Many pairs: products of 0/1 matrices, over the shingles that two members have, some columns at a time.
-    where = np.searchsorted(members, np.arange(len(sets)))
-    owner = np.repeat(np.arange(len(members)), [len(sets[i]) for i in members.tolist()])
-    values, column, counts = np.unique(np.concatenate([sets[i] for i in members.tolist()]), return_inverse=True, return_counts=True)
-    kept = counts[column] > 1
-    number = np.cumsum(counts > 1) - 1
-    owner, column = owner[kept], number[column[kept]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    out = np.zeros((len(members), len(members)), np.float32)
-    width = 4096
-    for c in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        x, y = np.searchsorted(column, [c, c + width])
-        part = np.zeros((len(members), width), np.float32)
-        part[owner[x:y], column[x:y] - c] = 1
-        out += part @ part.T
-    return out[where[a], where[b]].astype(np.int64)
-
-
-def sharing_pairs(keys: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i in left, j in right, i < j if both are the same) that have an equal key in some column of keys."""
-    same = np.zeros((len(left), len(right)), bool)
-    for k in range(keys.shape[1]):
-        same |= keys[left, k][:, None] == keys[right, k][None, :]
-    if left is right:
-        same = np.triu(same, 1)
-    i, j = np.nonzero(same)
-    return left[i], right[j]
-
-
-def links(sets: list[np.ndarray], keys: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of left and right members that share a band and have the similarity."""
-    a, b = sharing_pairs(keys, left, right)
-    if not len(a):
-        return a, b
+SIGNATURES = "doc_id long, rk long, h1 long, h2 long, n_shingles long, n_bytes long, bands array<long>, stars array<long>"
+
+
+class Overlaps:
+    """Sizes of the intersections of sets.
+
+    Shingles of one member don't count. Those of most members are held by who lacks them: near copies lack few, so few
+    columns are left whatever the length of their texts.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.n = sets, len(sets)
+        owner = np.repeat(np.arange(self.n), [len(s) for s in sets])
+        _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        common = 2 * counts > self.n
+        self.core = int(common.sum())
+        rest = ~common[column] & (counts > 1)[column]
+        some_lack = np.flatnonzero(common & (counts < self.n))
+        has = np.zeros((self.n, len(some_lack)), bool)
+        place = np.searchsorted(some_lack, column)
+        mine = (place < len(some_lack)) & (some_lack[np.minimum(place, len(some_lack) - 1)] == column) if len(some_lack) else np.zeros(len(column), bool)
+        has[owner[mine], place[mine]] = True
+        who, what = np.nonzero(~has)
+        self.lacks = np.bincount(who, minlength=self.n)
+        _, others = np.unique(column[rest], return_inverse=True)
+        who, what = np.concatenate((who, owner[rest])), np.concatenate((what, others + len(some_lack)))
+        order = np.argsort(what, kind="stable")
+        self.who, self.what = who[order], what[order]
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Matrix of the sizes for members left and right."""
+        out = np.zeros((len(left), len(right)), np.float32)
+        for c in range(0, int(self.what[-1]) + 1 if len(self.what) else 0, WIDTH):
+            x, y = np.searchsorted(self.what, [c, c + WIDTH])
+            part = np.zeros((self.n, WIDTH), np.float32)
+            part[self.who[x:y], self.what[x:y] - c] = 1
+            out += part[left] @ part[right].T
+        return out.astype(np.int64) + (self.core - self.lacks[left])[:, None] - self.lacks[right][None, :]
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sizes for members a[k] and b[k]."""
+        return np.array([len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) for i, j in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+
+
+def links(sets: list[np.ndarray], keys: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(tile of left, right, matrix of who is linked) of members that share a band and have the similarity; each pair of
+    members once."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    fits = np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9
-    a, b = a[fits], b[fits]
-    if not len(a):
-        return a, b
-    both = overlaps(sets, a, b)
-    good = both >= threshold * (sizes[a] + sizes[b] - both) - 1e-9
-    return a[good], b[good]
-
-
-def roots(n: int, a: np.ndarray, b: np.ndarray, order: list) -> list[int]:
-    """For each of n members, the member of least order that the links join it to."""
-    up = list(range(n))
-
-    def find(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = find(i), find(j)
-        if x != y:
-            if order[y] < order[x]:
-                x, y = y, x
-            up[y] = x
-    return [find(i) for i in range(n)]
+    overlaps = None
+    for k in range(0, len(left), TILE):
+        tile = left[k : k + TILE]
+        small, large = np.minimum(sizes[tile][:, None], sizes[right]), np.maximum(sizes[tile][:, None], sizes[right])
+        fits = small >= threshold * large - 1e-9
+        if left is right:
+            fits &= right > tile[:, None]
+        same = np.zeros(fits.shape, bool)
+        for band in range(keys.shape[1]):
+            same |= keys[tile, band][:, None] == keys[right, band]
+        same &= fits
+        i, j = np.nonzero(same)
+        if not len(i):
+            continue
+        overlaps = overlaps or Overlaps(sets)
+        dense = len(i) > 3 * (len(tile) + len(right))
+        both = overlaps(tile, right)[i, j] if dense else overlaps.pairs(tile[i], right[j])
+        same[i, j] = both >= threshold * (sizes[tile[i]] + sizes[right[j]] - both) - 1e-9
+        yield tile, right, same
+
+
+def unite(label: np.ndarray, tile: np.ndarray, right: np.ndarray, linked: np.ndarray) -> None:
+    """Give all members that a tile's links join the least of their labels."""
+    for k in np.flatnonzero(linked.any(1)).tolist():
+        found = np.unique(np.append(label[right[linked[k]]], label[tile[k]]))
+        if len(found) > 1:
+            label[np.isin(label, found)] = found[0]
 
 
 def _verify(bands: int, rows: int, threshold: float):
@@ -244,11 +272,11 @@ def _verify(bands: int, rows: int, threshold: float):
         keys = np.stack([band_hashes(s, bands, rows) for s in sets])
         left = np.flatnonzero(blocks == i)
         right = left if i == j else np.flatnonzero(blocks == j)
-        a, b = links(sets, keys, left, right, threshold)
-        count = np.zeros(len(names), np.int64)
-        np.add.at(count, a, weight[b])
-        np.add.at(count, b, weight[a])
-        root = roots(len(names), a, b, names)
+        count, root = np.zeros(len(names), np.int64), np.arange(len(names))
+        for tile, others, linked in links(sets, keys, left, right, threshold):
+            count[tile] += linked @ weight[others]
+            count[others] += weight[tile] @ linked
+            unite(root, tile, others, linked)
         return [(*names[k], int(count[k]), *names[root[k]]) for k in np.flatnonzero(count).tolist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,6 +306,20 @@ def _name(a: str, b: str):
     return F.concat(F.hex(a), F.lit("-"), F.hex(b))
 
 
+def with_blocks(members: DataFrame, members_a_block: int = BLOCK, bytes_a_block: int = BLOCK_BYTES) -> DataFrame:
+    """Append n_blocks of the member's component, and the member's block."""
+    n = F.greatest(F.ceil(F.count("*") / members_a_block), F.ceil(F.sum("n_bytes") / bytes_a_block)).cast("int")
+    blocks = members.groupBy("label").agg(n.alias("n_blocks"), F.count("*").alias("n"))
+    return skew_join(members, blocks, ["label"], "n").withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("n_blocks")).cast("int"))
+
+
+def text_tasks(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """A row with the member's text for each task (pair of blocks) of its component that it is in."""
+    with_text = wanted.join(texts.dropDuplicates(["rk"]), "rk")
+    tasks = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    return tasks.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select("label", "i", "j", "h1", "h2", "size", "block", "t")
+
+
 def join(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(signatures, classes): a row (doc_id, rk, h1, h2, n_shingles) for each document, and a row for each distinct set:
     h1, h2, size (documents with it), n_links (documents linked to it, its other copies included), class_id, class_size,
@@ -286,27 +328,19 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows
     signed = texts.select("doc_id", "rk", F.coalesce("text", F.lit("")).cast("binary").alias("t")).mapInArrow(_signatures(bands, rows), SIGNATURES)
     signed = written(signed, "signatures")
     some = signed.filter("n_shingles > 0")
-    sets = some.groupBy("h1", "h2").agg(F.count("*").alias("size"), F.min("doc_id").alias("least_id"), F.min("rk").alias("rk"), F.first("bands").alias("bands"))
-    with_bands = written(sets, "sets")
-    sets = with_bands.drop("bands")
-
-    # Nearly all buckets hold one set. Those with more are counted first; a filter of their keys then keeps the rest out
-    # of the join.
-    keys = with_bands.select("h1", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("key", "lo")
-    buckets = written(buckets, "buckets")
-    stars = possible(keys, "key", bloom(buckets, "key")).join(buckets, "key").filter("h1 > lo").select(F.col("h1").alias("a"), F.col("lo").alias("b"))
-    labels = components(stars)
+    sets = some.groupBy("h1", "h2").agg(F.count("*").alias("size"), F.min("doc_id").alias("least_id"), F.min("rk").alias("rk"), F.max("n_bytes").alias("n_bytes"))
+    sets = written(sets, "sets")
+
+    keys = some.select("h1", F.explode("bands").alias("key"))
+    first = F.min("h1").over(Window.partitionBy("key").orderBy("h1").rowsBetween(Window.unboundedPreceding, 0))
+    stars = keys.select(F.col("h1").alias("a"), first.alias("b")).filter("a <> b")
+    labels = components(stars.unionByName(some.select(F.col("h1").alias("a"), F.explode("stars").alias("b"))))
 
     labels = labels.withColumnRenamed("node", "h1").withColumnRenamed("root", "label")
     members = written(sets.join(labels, "h1"), "members")
-    blocks = members.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
-    members = members.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("n_blocks")).cast("int"))
-    wanted = members.select("label", "n_blocks", "block", "h1", "h2", "size", "rk")
+    wanted = written(with_blocks(members).select("label", "n_blocks", "block", "h1", "h2", "size", "rk"), "blocks")
     bytes_ = texts.select("rk", F.coalesce("text", F.lit("")).cast("binary").alias("t"))
-    with_text = wanted.join(possible(bytes_, "rk", bloom(wanted, "rk")), "rk").dropDuplicates(["rk"])
-    tasks = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    tasks = tasks.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select("label", "i", "j", "h1", "h2", "size", "block", "t")
+    tasks = text_tasks(wanted, possible(bytes_, "rk", wanted, wanted.count()))
     found = tasks.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(_verify(bands, rows, threshold), "h1 long, h2 long, n_links long, r1 long, r2 long")
     found = written(found, "links")
 
@@ -316,16 +350,17 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows
     classes = classes.withColumn("root", F.coalesce("root", "node"))
     # The set that stands for a class has the least id; ties (and classes of null ids) by hash.
     first = F.min(F.struct(F.col("least_id").isNull().alias("no_id"), "least_id", "h1", "h2"))
-    heads = classes.groupBy("root").agg(first.alias("f"), F.sum("size").alias("class_size"))
-    heads = heads.select("root", "class_size", F.col("f.least_id").alias("class_id"), F.col("f.h1").alias("k1"), F.col("f.h2").alias("k2"))
-    classes = classes.join(heads, "root").select("h1", "h2", "size", "rk", (F.coalesce("n_links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "class_id", "class_size", "k1", "k2", "least_id")
+    classes = written(classes, "classes")
+    heads = classes.groupBy("root").agg(first.alias("f"), F.sum("size").alias("class_size"), F.count("*").alias("n"))
+    heads = heads.select("root", "class_size", F.col("f.least_id").alias("class_id"), F.col("f.h1").alias("k1"), F.col("f.h2").alias("k2"), "n")
+    classes = skew_join(classes, heads, ["root"], "n").select("h1", "h2", "size", "rk", (F.coalesce("n_links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "class_id", "class_size", "k1", "k2", "least_id")
     return signed, classes
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, class_id, class_size, n_links, n_shingles."""
     signed, classes = join(docs)
-    joined = signed.filter("n_shingles > 0").join(classes.drop("rk"), ["h1", "h2"])
+    joined = skew_join(signed.filter("n_shingles > 0"), classes.drop("rk"), ["h1", "h2"], "size")
     linked = joined.select("doc_id", "class_id", "class_size", "n_links", "n_shingles")
     alone = signed.filter("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), "n_shingles")
     return linked.unionByName(alone)
@@ -335,12 +370,11 @@ def stage(docs: DataFrame) -> DataFrame:
     """One document of each class: the one with the least id (of equal sets, the one with the least hash), and all
     documents without words. Columns as in the input."""
     signed, classes = join(docs)
-    heads = classes.filter("h1 = k1 AND h2 = k2").select("h1", "h2")
+    heads = classes.filter("h1 = k1 AND h2 = k2").select("h1", "h2", "size")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rk"))
-    kept = signed.filter("n_shingles > 0").join(heads, ["h1", "h2"]).groupBy("h1", "h2").agg(best.alias("b")).select(F.col("b.rk").alias("n_rk"))
+    kept = skew_join(signed.filter("n_shingles > 0"), heads, ["h1", "h2"], "size").groupBy("h1", "h2").agg(best.alias("b")).select(F.col("b.rk").alias("n_key"))
     marked = wrapped(docs, n_key=F.xxhash64("doc_id", "text"), n_text=F.col("text"))
-    once = Window.partitionBy("n_key").orderBy("n_key")
-    chosen = marked.drop("n_text").join(kept, F.col("n_key") == F.col("n_rk"), "left_semi").withColumn("n_row", F.row_number().over(once)).filter("n_row = 1")
+    chosen = marked.drop("n_text").dropDuplicates(["n_key"]).join(kept, "n_key", "left_semi")
     wordless = marked.filter(~F.coalesce(F.regexp_like("n_text", F.lit(r"[^ \t\n\x0b\f\r]")), F.lit(False)))
     return unwrapped(chosen, docs.columns).unionByName(unwrapped(wordless, docs.columns))
 

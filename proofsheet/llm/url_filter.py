@@ -1,8 +1,9 @@
 """URL filter [native]: host/path rules, then a list of canonical URLs behind a blocked Bloom filter.
 
-The filter keeps eight 64-bit lanes per block; a listed URL sets one bit in each lane of one block. It has
-at most MAX_BLOCKS rows whatever the list's length, so it can be broadcast. Pages that it lets pass as
-possible hits meet the list in an exact hash join, which removes false positives; the others skip the join.
+The filter keeps eight 64-bit lanes per block; a listed URL sets one bit in each lane of one block. It grows with the
+list up to the bound in ``bloom.py``, so it can be broadcast; a list beyond that meets all pages in the join. Pages that
+it lets pass as possible hits meet the list in an exact join by hash, which removes false positives; the others skip the
+join. Spark picks the join: a large list is sorted and may spill.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule and is never
 listed, so it is allowed; repeated rows give one result each; an empty list blocks nothing.
@@ -15,7 +16,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bloom import MAX_BLOCKS, bloom, with_maybe
+from .bloom import blocks_for, bloom, with_maybe
 
 #: (verdict, host, path). A rule fits its host and all subdomains if the url's path starts with the rule's.
 RULES = (
@@ -25,7 +26,8 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-URLS_PER_BLOCK = 32
+#: Hosts whose pages the query lists.
+JUNK_HOSTS = "(^|[.-])(ads|casino|bets|spam|pills|adult)([.-]|$)"
 
 
 def url_parts(url: Column) -> tuple[Column, Column, Column]:
@@ -58,17 +60,19 @@ def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
 def listed(pages: DataFrame, keys: DataFrame) -> DataFrame:
     """Append u_listed to pages that have u_key: whether it is among keys (column u_key; repeats and nulls are ignored)."""
     keys = keys.select("u_key").filter(F.col("u_key").isNotNull()).distinct()
-    n = max(1, min(MAX_BLOCKS, 1 << (keys.count() // URLS_PER_BLOCK).bit_length()))
+    n = blocks_for(keys.count())
+    exact = lambda df: df.join(keys.withColumn("u_listed", F.lit(True)), "u_key", "left").withColumn("u_listed", F.coalesce("u_listed", F.lit(False)))
+    if not n:
+        return exact(pages)
     maybe = with_maybe(pages, "u_key", bloom(keys, "u_key", n), n)
-    passed = maybe.filter("b_maybe").drop("b_maybe").join(keys.withColumn("u_listed", F.lit(True)).hint("shuffle_hash"), "u_key", "left")
-    passed = passed.withColumn("u_listed", F.coalesce("u_listed", F.lit(False)))
+    passed = exact(maybe.filter("b_maybe").drop("b_maybe"))
     rest = maybe.filter(~F.col("b_maybe")).drop("b_maybe").withColumn("u_listed", F.lit(False))
     return rest.unionByName(passed)
 
 
 def block_list(pages: DataFrame) -> DataFrame:
-    """The query's list: URLs of every page whose id is divisible by 50 and of all ad-tracking hosts."""
-    return pages.filter((F.col("page_id") % 50 == 0) | F.col("u_host").contains("ads-")).select("u_key")
+    """The query's list: the URLs of all pages on hosts with a junk word in their name."""
+    return pages.filter(F.col("u_host").rlike(JUNK_HOSTS)).select("u_key")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +90,7 @@ b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{string.ascii
 c AS (SELECT *, regexp_replace(regexp_replace(query, '(^|&)utm_[^&]*', '', 'g'), '^&+', '') AS q,
         CASE {_RULE_SQL} END AS found FROM b),
 d AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN q = '' THEN '' ELSE '?' || q END END AS key FROM c),
-l AS (SELECT DISTINCT key FROM d WHERE key IS NOT NULL AND (page_id % 50 = 0 OR contains(host, 'ads-')))
+l AS (SELECT DISTINCT key FROM d WHERE key IS NOT NULL AND regexp_matches(host, '{JUNK_HOSTS}'))
 SELECT page_id, host, path, substr(found, instr(found, '}}') + 1) AS rule,
   CASE WHEN starts_with(found, '{{block}}') THEN 'block' WHEN found IS NOT NULL THEN 'allow' WHEN key IN (SELECT key FROM l) THEN 'block' ELSE 'allow' END AS verdict,
   coalesce(key IN (SELECT key FROM l), false) AS listed
