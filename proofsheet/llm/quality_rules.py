@@ -1,10 +1,13 @@
 """Line-first quality rules [native].
 
-Every line is judged by itself: punctuation, navigation and boilerplate rules. Failing lines are
-removed, and a document that loses too much of its text is rejected. Only DataFrame functions run.
-
-Defined cases: a null text counts as the empty text, which has no words and is rejected; null ids and
-repeated rows are kept as they are, one result per row; other columns of the input are not touched.
+Every line is judged by itself: punctuation (mostly signs, repeated marks, no letter or digit at all), navigation (menus of
+known words, parts between separators) and boilerplate (notices in four languages). Failing lines are removed, and a
+document that loses too much of its text is rejected. Only DataFrame functions run.
+
+Defined cases: a null text counts as the empty text, which has no words and is rejected; blank lines break no rule; a very
+long text is worked on by itself, in memory in proportion to it; null ids and repeated rows are kept as they are, one
+result per row; an empty table gives no rows; other columns of the input are not touched, but quality's own q_* columns
+replace any of these names (stage wraps its rows and so keeps them).
 """
 
 from __future__ import annotations
@@ -20,23 +23,45 @@ MAX_REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 #: A document is rejected if less than this percentage of its word characters is left.
 MIN_LEFT_PERCENT = 50
-BOILERPLATE = (
-    "all rights reserved|copyright|terms of (use|service)|privacy policy|cookie|javascript|lorem ipsum|"
-    "click here|sign up|log in|subscribe|licensed under|under the mit license|powered by"
-)
-#: Boilerplate lines are short; a long line that mentions one of the phrases is prose.
-BOILERPLATE_MAX_BYTES = 200
+#: Notices, prompts and licence lines in the corpus's languages, as whole words.
+BOILERPLATE = "|".join((
+    "all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings|notice)|(enable|requires) javascript|lorem ipsum|click here",
+    "sign up (now|here|today|for)|log in (now|here|to)|subscribe (now|here|today|to our)|(licensed|released) under|under the [a-z]+ license|powered by|copyright (©|[(]c[)]|[0-9]{4})",
+    "alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|impressum|hier klicken|cookie-richtlinie|newsletter abonnieren",
+    "tous droits réservés|politique de confidentialité|conditions d.utilisation|mentions légales|cliquez ici|abonnez-vous",
+    "todos los derechos reservados|política de privacidad|términos (de uso|y condiciones)|aviso legal|haga clic aquí|suscríbase",
+))
+#: Words of menus in these languages; a line of nothing else is a menu.
+MENU = "|".join((
+    "home|about( us)?|contact( us)?|log ?in|sign ?(in|up|out)|register|menu|search|help|more|news|blog|shop|cart|faq|next|previous|sitemap|careers",
+    "startseite|über uns|kontakt|anmelden|registrieren|suche|hilfe|warenkorb|weiter|zurück|mehr",
+    "accueil|à propos|connexion|inscription|recherche|aide|panier|suivant|précédent|plus",
+    "inicio|acerca de|contacto|iniciar sesión|registrarse|buscar|ayuda|carrito|siguiente|anterior|más",
+))
+#: Signs between the parts of menus and paths of places.
+BETWEEN = "|>»›·•→"
+#: Lines longer than this are prose, whatever phrases they mention.
+SHORT_BYTES = 200
+_BLANK = "\\x20\\x09-\\x0D"
+_PART = f"[^{_BLANK}{BETWEEN}]+(?:[{_BLANK}][^{_BLANK}{BETWEEN}]+){{0,2}}"
+BOILERPLATE_LINE = f"(?:^|[^\\p{{L}}])(?:{BOILERPLATE})(?:[^\\p{{L}}]|\\z)"
+MENU_LINE = f"^[{_BLANK}]*(?:(?:{MENU})(?:[{_BLANK}{BETWEEN}/,:-]+|\\z)){{2,}}\\z"
+PLACES_LINE = f"^[{_BLANK}]*{_PART}(?:[{_BLANK}]*[{BETWEEN}][{_BLANK}]*{_PART}){{2,}}[{_BLANK}]*\\z"
+NO_LETTER_LINE = f"^[^\\p{{L}}\\p{{N}}]*[^\\p{{L}}\\p{{N}}{_BLANK}][^\\p{{L}}\\p{{N}}]*\\z"
 
 
 def line_rule(line: Column) -> Column:
     """Name of the first rule that the line breaks, else null. Words are counted as blanks plus one."""
     words = count_char(line, " ") + 1
     symbols, marks, bars = count_char(line, "#*$%&<>"), count_char(line, "!?"), count_char(line, "|")
+    short = F.octet_length(line) <= SHORT_BYTES
     return (
         F.when((bars >= 3) & (bars * 4 > words), "navigation")
         .when((symbols >= 3) & (symbols * 2 > words), "punctuation")
         .when((marks >= 4) & (marks > words), "punctuation")
-        .when((F.octet_length(line) <= BOILERPLATE_MAX_BYTES) & line.rlike(f"(?i)({BOILERPLATE})"), "boilerplate")
+        .when(line.rlike(NO_LETTER_LINE), "punctuation")
+        .when(short & (line.rlike(PLACES_LINE) | line.rlike(f"(?iu){MENU_LINE}")), "navigation")
+        .when(short & line.rlike(f"(?iu){BOILERPLATE_LINE}"), "boilerplate")
     )
 
 
@@ -68,8 +93,12 @@ def quality(docs: DataFrame, text: str = "text") -> DataFrame:
     df = docs.withColumn("q_text", t).withColumn("q_words", words_of(F.col("q_text")))
     df = df.withColumn("q_hashes", F.transform("q_words", lambda w: F.xxhash64(w)))
     n = F.size("q_words")
-    window = lambda i: F.xxhash64(*[F.get(F.col("q_hashes"), i + k) for k in range(WINDOW)])
-    df = df.withColumn("q_windows", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)).otherwise(F.array().cast("array<bigint>")))
+    # Hashes of 2, 4 and 8 words in a row, each from two of the shorter ones.
+    of = "q_hashes"
+    for k in (1, 2, 4):
+        df = df.withColumn(f"q_hashes_{2 * k}", F.zip_with(of, F.slice(of, k + 1, F.greatest(F.lit(0), n - k)), lambda a, b: F.xxhash64(a, b)))
+        of = f"q_hashes_{2 * k}"
+    df = df.withColumn("q_windows", F.slice(of, 1, F.greatest(F.lit(0), n - (WINDOW - 1))))
     lines = F.split("q_text", "\n")
     blank = F.lit(r"[^ \t\n\x0b\f\r]")
     df = df.withColumn("q_lines", lines)
@@ -90,7 +119,7 @@ def quality(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("q_base_failed", (F.col("q_n_words") < MIN_WORDS) | (100 * F.col("q_n_repeat_words") > MAX_REPEAT_PERCENT * F.col("q_n_words")))
     left = 100 * F.col("q_chars_left") >= MIN_LEFT_PERCENT * F.col("q_word_chars")
     df = df.withColumn("q_kept", ~F.col("q_base_failed") & left)
-    return df.drop("q_text", "q_words", "q_hashes", "q_windows", "q_lines", "q_worded", "q_left")
+    return df.drop("q_text", "q_words", "q_hashes", "q_hashes_2", "q_hashes_4", "q_hashes_8", "q_windows", "q_lines", "q_worded", "q_left")
 
 
 def stage(docs: DataFrame) -> DataFrame:
@@ -112,7 +141,8 @@ _LINE_SQL = f"""CASE
   WHEN strlen(x) - strlen(replace(x, '|', '')) >= 3 AND (strlen(x) - strlen(replace(x, '|', ''))) * 4 > strlen(x) - strlen(replace(x, ' ', '')) + 1 THEN false
   WHEN strlen(x) - strlen(regexp_replace(x, '[#*$%&<>]', '', 'g')) >= 3 AND (strlen(x) - strlen(regexp_replace(x, '[#*$%&<>]', '', 'g'))) * 2 > strlen(x) - strlen(replace(x, ' ', '')) + 1 THEN false
   WHEN strlen(x) - strlen(regexp_replace(x, '[!?]', '', 'g')) >= 4 AND strlen(x) - strlen(regexp_replace(x, '[!?]', '', 'g')) > strlen(x) - strlen(replace(x, ' ', '')) + 1 THEN false
-  WHEN strlen(x) <= {BOILERPLATE_MAX_BYTES} AND regexp_matches(x, '(?i)({BOILERPLATE})') THEN false
+  WHEN regexp_matches(x, '{NO_LETTER_LINE}') THEN false
+  WHEN strlen(x) <= {SHORT_BYTES} AND (regexp_matches(x, '{PLACES_LINE}') OR regexp_matches(x, '(?i){MENU_LINE}') OR regexp_matches(x, '(?i){BOILERPLATE_LINE}')) THEN false
   ELSE true END"""
 
 ORACLE = f"""

@@ -9,7 +9,8 @@ A first pass over the Arrow bytes finds texts that can match at all: those with
 or a ``:`` or ``=``. Only these are decoded and searched.
 
 Defined cases: a null text is empty and has no span; positions count code points, ends are exclusive; null ids
-and repeated rows give one row each; other columns are not read.
+and repeated rows give one row each; a very long text is searched as a whole, its long runs in parts; an empty table gives
+no rows. scan and stage carry all other columns as they are; scan's own result columns replace any of their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ import base64
 import functools
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -92,10 +95,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def stretches(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Runs without what base spans and digests in them cover; MIN_RUN characters at least."""
+    """Runs without what base spans and digests in them cover; MIN_RUN characters at least. base is in order of starts."""
+    first = [s for s, _, _ in base]
+    reach = list(accumulate((e for _, _, e in base), max))  # how far the spans up to each one go
     for m in RUN.finditer(text):
         at, end = m.span()
-        taken = [(s, e) for s, _, e in base if s < end and at < e]
+        taken = [(s, e) for s, _, e in base[bisect_right(reach, at) : bisect_left(first, end)] if at < e]
         taken += [d.span() for d in WHOLE_DIGEST.finditer(text, at, end)]
         for s, e in [*sorted(taken), (end, end)]:
             if s - at >= MIN_RUN:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from proofsheet.llm import language_id, lm_score, media, mixing, packing, secret_scan, url_filter
+from proofsheet.llm import language_id, lm_score, media, mixing, packing, quality_rules, secret_scan, url_filter
 from proofsheet.llm.arrow_text import buffers
 
 
@@ -180,15 +180,50 @@ def test_member_is_read_again_by_its_offset():
         opened.append(1)
         return Broken(good) if len(opened) < 2 else io.BytesIO(good)
 
-    members = media.members_in(io.BytesIO(good), 0, 1 << 30)
-    assert [m[3:] for m in members] == [(0, 5), (1, 5), (2, 5)]
-    offset, size, crc, _, _ = members[1]
+    first, end = media.directory_of(io.BytesIO(good), len(good))
+    members = media.members_in(io.BytesIO(good), first, end, end)
+    assert [m[4:] for m in members] == [(0, 5), (1, 5), (2, 5)]
+    offset, size, crc, _, _, _ = members[1]
     assert media.read_member(reopen, Broken(good), offset, size, crc)[1] == b"data1" and len(opened) == 2
-    assert [m[3] for m in media.members_in(io.BytesIO(good), offset, members[2][0])] == [1]
+    for cut in range(first, end + 1):  # wherever a directory is cut, each member is in one slice
+        parts = [media.members_in(io.BytesIO(good), a, b, end) for a, b in ((first, cut), (cut, end))]
+        assert parts[0] + parts[1] == members
     with pytest.raises(ValueError):
         media.read_member(lambda: io.BytesIO(good), io.BytesIO(good), offset, size, crc + 1)
 
 
+def test_foreign_archives_are_read(spark, tmp_path):
+    small = media.encode_png(media.payload(b"own"))
+    with zipfile.ZipFile(tmp_path / "other.zip", "w", zipfile.ZIP_DEFLATED) as archive:
+        for k in range(20):
+            archive.writestr(f"PK\x01\x02-{k}.png", small, compress_type=[zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED][k % 2])
+        archive.comment = b"PK\x05\x06 is no end"
+    got = media.load(spark, f"file://{tmp_path}").collect()
+    assert len(got) == 20 and all(r["media"] == small and r["doc_id"] is None and r["n_bytes"] == len(small) for r in got)
+
+
+@pytest.mark.parametrize("line", ["Alle Rechte vorbehalten.", "Tous droits réservés", "Todos los derechos reservados", "© TÉRMINOS DE USO", "Home > Shop > Shoes", "Home About Contact Login", "Accueil | Aide | Panier", "." * 20, "-----", "{ } { } ;;", "a | b | c", "wow!!!! ok!", "## ** $$ x"])
+def test_lines_that_go(spark, line):
+    assert spark.range(1).select(quality_rules.line_rule(F.lit(line)).isNotNull()).first()[0]
+
+
+@pytest.mark.parametrize("line", ["He subscribes to the view.", "We are home now and need help with more news.", "", " \t", "1984", "An und für sich, nicht?", "Contact lenses are sold in the shop.", "x > y", "Impressumspflicht gilt."])
+def test_lines_that_stay(spark, line):
+    assert spark.range(1).select(quality_rules.line_rule(F.lit(line)).isNull()).first()[0]
+
+
+def test_many_spans_in_one_text_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (2000, 16000):
+        text = " ".join(["0123456789abcdef0123456789abcde" + "abcdef"[k % 6] for k in range(n)])
+        began = time.perf_counter()
+        assert len(secret_scan.all_spans(text, secret_scan.base_spans(text))) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0]
+
+
 def test_random_runs_and_identifiers():
     assert secret_scan.looks_random("qX7tR9vLw2ZkP8sNf4JdH3mB")
     assert not secret_scan.looks_random("d41d8cd98f00b204e9800998ecf8427e")
