@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,8 +47,29 @@ SCRIPTS = {
     "greek": r"\p{IsGreek}",
     "other_letters": rf"[\p{{L}}&&[^\p{{IsLatin}}\p{{IsCyrillic}}\p{{IsGreek}}]&&[^\x{{3400}}-\x{{4DBF}}\x{{4E00}}-\x{{9FFF}}\x{{F900}}-\x{{FAFF}}]]",
 }
-_WITH = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: What lines in Latin letters are made of: nothing is left of most of them without these.
+FAMILIAR = r"[\p{IsLatin}[\p{IsCommon}\p{IsInherited}&&\P{L}]]+"
+NOT_ASCII = r"[^\x00-\x7F]"
+
+
+def plain_word(word: str) -> str:
+    """Casefolded, in compatibility decomposition, without combining marks."""
+    return "".join(c for c in unicodedata.normalize("NFKD", word.casefold()) if not unicodedata.combining(c))
+
+
+def _tables() -> tuple[str, str, str, dict[str, str]]:
+    """(letters, their single plain letters, marks to drop, letters with more than one plain letter) of lower-case Latin
+    letters with accents, wide and ligature forms, by the rule of plain_word."""
+    letters = [chr(c) for block in ((0xA0, 0x24F), (0x1E00, 0x1EFF), (0xFB00, 0xFB06), (0xFF10, 0xFF5E)) for c in range(block[0], block[1] + 1)]
+    plain = {c: plain_word(c) for c in letters if c.isalnum() and c == c.lower() and plain_word(c) != c}
+    one = {c: p for c, p in plain.items() if len(p) == 1}
+    marks = "".join(chr(c) for c in range(0x300, 0x370) if unicodedata.combining(chr(c)))
+    return "".join(one), "".join(one.values()), marks, {c: p for c, p in plain.items() if len(p) > 1 and p.isalnum()}
+
+
+_ONE, _PLAIN, _MARKS, _MORE = _tables()
+#: For translate(): characters without a counterpart are dropped.
+_WITH = _ONE + _MARKS
 
 
 def tokens(text: Column) -> Column:
@@ -60,51 +83,74 @@ def folded(text: Column) -> Column:
 
 
 def plain(text: Column) -> Column:
-    """Folded text without the accents of the languages told apart here."""
-    return F.translate(folded(text), _WITH, _PLAIN)
+    """Casefolded text without accents, as plain_word gives it for Latin letters."""
+    low = F.lower(text)
+    several = low
+    for c, p in _MORE.items():
+        several = F.replace(several, F.lit(c), F.lit(p))
+    spelled = F.when(low.rlike("[" + "".join(_MORE) + "]"), several).otherwise(low)
+    return F.when(text.rlike(NOT_ASCII), F.translate(spelled, _WITH, _PLAIN)).otherwise(low)
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(folded(text), F.lit(WORD), F.lit(0))
 
 
-def script_counts(text: Column) -> dict[str, Column]:
-    """Letters of each script: what removing them shortens the text by, one pass and no array for each."""
-    return {k: (F.length(text) - F.length(F.regexp_replace(text, f"(?:{p})+", ""))).cast("long") for k, p in SCRIPTS.items()}
+def unfamiliar(text: Column) -> Column:
+    """What is left of a text without Latin letters, signs, digits and marks."""
+    return F.regexp_replace(text, FAMILIAR, "")
 
 
-def _any_of(text: Column, chars: str) -> Column:
-    return text.rlike("[" + chars + "]")
+def script_counts(text: Column, strange: Column) -> dict[str, Column]:
+    """Letters of each script: what removing them shortens the text by. strange is the text's unfamiliar part; only where
+    there is one are scripts other than Latin looked for."""
+    def count(of: Column, pattern: str) -> Column:
+        return (F.length(of) - F.length(F.regexp_replace(of, f"(?:{pattern})+", ""))).cast("long")
 
+    return {k: count(text, p) if k == "latin" else F.when(strange == "", F.lit(0).cast("long")).otherwise(count(strange, p)) for k, p in SCRIPTS.items()}
 
-def _listed(vocabulary: tuple[str, ...]):
+
+def listed_words(found: Column) -> Column:
+    """Those of the words that are in any language's list."""
+    every = sorted({w for words_ in LANGUAGE_WORDS.values() for w in words_})
+    return F.filter(found, lambda w: w.isin(*every))
+
+
+def _among(vocabulary: tuple[str, ...]):
     return lambda w: w.isin(*vocabulary)
 
 
-def language_scores(text: Column, found: Column) -> dict[str, Column]:
-    """Words (found) of each language's list, and 3 for its own accents (1 for accents that French and Spanish share)."""
+def language_scores(text: Column, listed: Column) -> dict[str, Column]:
+    """Listed words of each language, and 3 for its own accents (1 for accents that French and Spanish share)."""
+    accented = text.rlike(NOT_ASCII)
+    has = lambda chars: accented & text.rlike("[" + chars + "]")
     out = {}
     for lang, vocabulary in LANGUAGE_WORDS.items():
-        score = F.size(F.filter(found, _listed(vocabulary)))
+        score = F.when(F.size(listed) == 0, 0).otherwise(F.size(F.filter(listed, _among(vocabulary))))
         if lang in ACCENTS:
-            score = score + F.when(_any_of(text, ACCENTS[lang]), 3).otherwise(0)
+            score = score + F.when(has(ACCENTS[lang]), 3).otherwise(0)
         if lang in ("fr", "es"):
-            score = score + F.when(_any_of(text, SHARED_ACCENTS), 1).otherwise(0)
+            score = score + F.when(has(SHARED_ACCENTS), 1).otherwise(0)
         out[lang] = score.cast("long")
     return out
 
 
 def best_language(scores: dict[str, Column]) -> tuple[Column, Column, Column]:
     """(language, its score, the second score); of equal scores the language first in LANGUAGES."""
-    ranked = F.array_sort(F.array(*[F.struct((-s).alias("s"), F.lit(i).alias("i"), F.lit(lang).alias("lang")) for i, (lang, s) in enumerate(scores.items())]))
-    return ranked[0]["lang"], -ranked[0]["s"], -ranked[1]["s"]
-
-
-def analysis(scripts: dict[str, Column], scores: dict[str, Column], text: Column, n_words: Column) -> tuple[Column, Column]:
-    """(language, conflict) of a trimmed text with so many words."""
-    lang, best, second = best_language(scores)
+    best = F.greatest(*scores.values())
+    lang, before, others = F.when(F.lit(False), ""), F.lit(False), []
+    for name, s in scores.items():
+        lang = lang.when(s == best, name)
+        others.append(F.when((s == best) & ~before, F.lit(-1)).otherwise(s))
+        before = before | (s == best)
+    return lang, best, F.greatest(*others)
+
+
+def analysis(scripts: dict[str, Column], ranked: tuple[Column, Column, Column], text: Column, n_words: Column) -> tuple[Column, Column]:
+    """(language, conflict) of a trimmed text with so many words, from its scripts and best language."""
+    lang, best, second = ranked
     foreign = (scripts["cyrillic"] > 0) | (scripts["greek"] > 0) | (scripts["other_letters"] > 0)
-    ascii_only = ~text.rlike(r"[^\x00-\x7F]")
+    ascii_only = ~text.rlike(NOT_ASCII)
     language = (
         F.when(text == "", "unknown").when(foreign, "conflict")
         .when(scripts["han"] > 0, F.when(scripts["latin"] > 0, "zh+latin").otherwise("zh"))
@@ -126,10 +172,6 @@ def canonical_map(language: Column) -> Column:
     return out
 
 
-def plain_word(word: str) -> str:
-    return word.replace("ß", "ss").translate(str.maketrans(_WITH, _PLAIN))
-
-
 def replacements(text: Column, language: Column) -> Column:
     """Array of (token, canonical): words whose canonical spelling has accents that they lack, in their own case."""
     known = canonical_map(language)

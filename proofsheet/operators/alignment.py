@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,25 +14,47 @@ KEEP_RATIO, MIN_MATCHES = 0.25, 8
 MIN_INLIERS, MAX_ROTATION, MIN_SCALE, MAX_SCALE = 0.20, 10.0, 0.85, 1.15
 MOVED_RATIO, MOVED_PIXELS, MOVED_ROTATION, MOVED_SCALE = 0.005, 3.0, 0.5, 0.01
 REACH = 3.0
+#: Points or hypotheses that are worked on together.
+ROWS = 512
 FEW_INLIERS, TURNED, SCALED, JOINED = "RANSAC 内点比例过低: %.1f%% < 20.0%%", "旋转角度异常: %.2f°", "缩放比例异常: %.4f", "；"
 
 
-def distance(a: str, b: str) -> Column:
-    """Differing bits of two descriptors of twice 32 bits."""
-    return F.bit_count(F.col(f"{a}.d0").bitwiseXOR(F.col(f"{b}.d0"))) + F.bit_count(F.col(f"{a}.d1").bitwiseXOR(F.col(f"{b}.d1")))
+def _of_keys(df: DataFrame, keys: list[str], schema: str, work: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """work on all rows of a key as one frame; keys are put first."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        out = work(frame)
+        for i, k in enumerate(keys):
+            out.insert(i, k, frame[k].iloc[0])
+        return out
+
+    kinds = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
+    return df.groupBy(*keys).applyInPandas(run, kinds + schema)
 
 
 def mutual_nearest(points: DataFrame, keys: list[str]) -> DataFrame:
     """keys, a, b, distance: points of side 0 and 1 of the same image pair that are each other's nearest.
 
-    Pairs are formed within the keys (an image pair holds a bounded number of points); ties go to the smaller id. Both
-    minima are partial aggregates, so no ordering of all pairs is needed.
+    An image pair holds a bounded number of points; its distances are worked out ROWS points at a time, and no pair of
+    points is ever a row. Ties go to the smaller id.
     """
-    a, b = points.filter("side = 0").alias("a"), points.filter("side = 1").alias("b")
-    pairs = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.kp_id").alias("a"), F.col("b.kp_id").alias("b"), distance("a", "b").alias("distance"))
-    of_a = pairs.groupBy(*keys, "a").agg(F.min(F.struct("distance", "b")).alias("m")).select(*keys, "a", "m.b", "m.distance")
-    of_b = pairs.groupBy(*keys, "b").agg(F.min(F.struct("distance", "a")).alias("m")).select(*keys, "m.a", "b")
-    return of_a.join(of_b, [*keys, "a", "b"])
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("kp_id")
+        (ia, xa), (ib, xb) = ((f["kp_id"].to_numpy(), f[["d0", "d1"]].to_numpy().astype(np.uint64)) for f in (frame[frame["side"] == s] for s in (0, 1)))
+        if not len(ia) or not len(ib):
+            return pd.DataFrame({"a": [], "b": [], "distance": []}, dtype="int64")
+        of_a, how_far = np.zeros(len(ia), np.int64), np.zeros(len(ia), np.int64)
+        of_b, least = np.zeros(len(ib), np.int64), np.full(len(ib), 1 << 30)
+        for k in range(0, len(ia), ROWS):
+            d = np.bitwise_count(xa[k : k + ROWS, None] ^ xb[None]).sum(2, dtype=np.int64)
+            of_a[k : k + ROWS], how_far[k : k + ROWS] = d.argmin(1), d.min(1)
+            nearer = d.min(0) < least
+            of_b[nearer], least[nearer] = k + d.argmin(0)[nearer], d.min(0)[nearer]
+        both = of_b[of_a] == np.arange(len(ia))
+        return pd.DataFrame({"a": ia[both], "b": ib[of_a[both]], "distance": how_far[both]})
+
+    return _of_keys(points.select(*keys, "kp_id", "side", "d0", "d1"), keys, "a long, b long, distance long", work)
 
 
 def keep_best(matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,34 +97,36 @@ def movement(x: Column, y: Column, rotation: Column, scale: Column, success: Col
 def fitted(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Similarity transform of point pairs (keys, pair_id, ax, ay, bx, by) from b to a, in closed form with one refit.
 
-    A hypothesis comes from every two pairs of a key; the one with most inliers wins (ties: the first), and least squares
-    over its inliers gives the result. Deterministic, and pairs are only joined with hypotheses of their own key. Work
-    grows with the cube of a key's pairs, which keep_best holds few.
+    A hypothesis comes from every two pairs of a key; the one with most inliers wins (ties: the first by pair_id), and least
+    squares over its inliers gives the result. Deterministic. A key's pairs, which keep_best holds few, are one array; its
+    hypotheses are tried ROWS points' worth at a time. Keys without two distinct points give no row.
     """
-    following = pairs.select(*keys, *[F.col(c).alias(f"n{c}") for c in ("pair_id", "ax", "ay", "bx", "by")])
-    ux, uy, vx, vy = F.col("nbx") - F.col("bx"), F.col("nby") - F.col("by"), F.col("nax") - F.col("ax"), F.col("nay") - F.col("ay")
-    low = F.nullif(ux * ux + uy * uy, F.lit(0.0))
-    h = pairs.join(following, keys).filter(F.col("npair_id") > F.col("pair_id"))
-    h = h.filter(low > 0).withColumns({"ha": (ux * vx + uy * vy) / low, "hb": (ux * vy - uy * vx) / low})
-    h = h.select(*keys, F.struct("pair_id", "npair_id").alias("h_id"), "ha", "hb", (F.col("ax") - F.col("ha") * F.col("bx") + F.col("hb") * F.col("by")).alias("hx"), (F.col("ay") - F.col("hb") * F.col("bx") - F.col("ha") * F.col("by")).alias("hy"))
-    tried = pairs.join(h, keys)
-    dx = F.col("ha") * F.col("bx") - F.col("hb") * F.col("by") + F.col("hx") - F.col("ax")
-    dy = F.col("hb") * F.col("bx") + F.col("ha") * F.col("by") + F.col("hy") - F.col("ay")
-    near = tried.filter(dx * dx + dy * dy <= REACH * REACH)
-    votes = near.groupBy(*keys, "h_id").agg(F.count("*").alias("inliers"))
-    best = votes.groupBy(*keys).agg(F.min_by(F.struct("h_id", "inliers"), F.struct((-F.col("inliers")).alias("v"), "h_id")).alias("b")).select(*keys, "b.h_id", "b.inliers")
-    used = near.join(best, [*keys, "h_id"])
-    s = used.groupBy(*keys, "inliers").agg(
-        *[F.avg(c).alias(f"m_{c}") for c in ("ax", "ay", "bx", "by")],
-        F.avg(F.col("bx") * F.col("bx") + F.col("by") * F.col("by")).alias("bb"), F.avg(F.col("bx") * F.col("ax") + F.col("by") * F.col("ay")).alias("ba"), F.avg(F.col("bx") * F.col("ay") - F.col("by") * F.col("ax")).alias("bc"),
-    )
-    var = F.col("bb") - F.col("m_bx") ** 2 - F.col("m_by") ** 2
-    a = (F.col("ba") - F.col("m_bx") * F.col("m_ax") - F.col("m_by") * F.col("m_ay")) / var
-    b = (F.col("bc") - F.col("m_bx") * F.col("m_ay") + F.col("m_by") * F.col("m_ax")) / var
-    s = s.filter(var > 0).withColumns({"a": a, "b": b})
-    scale, rotation = decomposed(F.col("a"), F.col("b"))
-    total = pairs.groupBy(*keys).agg(F.count("*").alias("matched"))
-    return s.join(total, keys).select(
-        *keys, scale.alias("scale"), rotation.alias("rotation"), (F.col("m_ax") - F.col("a") * F.col("m_bx") + F.col("b") * F.col("m_by")).alias("x"),
-        (F.col("m_ay") - F.col("b") * F.col("m_bx") - F.col("a") * F.col("m_by")).alias("y"), "inliers", "matched",
-    )
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("pair_id")
+        a, b = (frame[c].to_numpy(float) @ np.array([1, 1j]) for c in (["ax", "ay"], ["bx", "by"]))
+        n, best, votes = len(a), None, 0
+        for i in range(n - 1):
+            d = b[i + 1 :] - b[i]
+            turn = (a[i + 1 :] - a[i])[d != 0] / d[d != 0]
+            for k in range(0, len(turn), ROWS):
+                t = turn[k : k + ROWS, None]
+                near = np.abs(t * (b - b[i]) + a[i] - a) <= REACH
+                count = near.sum(1)
+                if len(count) and count.max() > votes:
+                    best, votes = near[count.argmax()], int(count.max())
+        if best is None or np.ptp(b[best].real) + np.ptp(b[best].imag) == 0:
+            return pd.DataFrame({c: [] for c in ("scale", "rotation", "x", "y", "inliers", "matched")})
+        ca, cb = a[best].mean(), b[best].mean()
+        turn = ((a[best] - ca) * (b[best] - cb).conj()).sum() / (np.abs(b[best] - cb) ** 2).sum()
+        at = ca - turn * cb
+        return pd.DataFrame({"scale": [abs(turn)], "rotation": [np.degrees(np.angle(turn))], "x": [at.real], "y": [at.imag], "inliers": [votes], "matched": [n]})
+
+    return _of_keys(pairs.select(*keys, "pair_id", "ax", "ay", "bx", "by"), keys, "scale double, rotation double, x double, y double, inliers long, matched long", work)
+
+
+def identity_result(reason: Column, matched: Column, inliers: Column) -> dict[str, Column]:
+    """What stands for a transform that was not found or not trusted: no movement, with the reason and the counts."""
+    zero = F.lit(0.0)
+    share = F.when(matched > 0, F.round(inliers / matched, 4)).otherwise(zero)
+    return {"x": zero, "y": zero, "rotation_degrees": zero, "scale": F.lit(1.0), "matched_features": matched, "inlier_features": inliers, "inlier_ratio": share, "success": F.lit(False), "reason": reason}

@@ -1,97 +1,103 @@
 """Greedy, order-dependent and grouping operators on boxes of a page.
 
-A page's boxes are gathered into one sorted array and folded; pages are the unit of parallel work. Pair predicates that
-need no order are joins on the page with a residual condition.
+Where the outcome depends on order, a page's boxes are sorted by the shuffle and stream through a task, which holds the
+kept boxes of one page in a grid and compares a box with those near it only; pages are the unit of parallel work. Pair
+predicates that need no order are joins on the page with a residual condition.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import plane
 
 # Fixed values of the checks' rules.
 DEDUP_IOU, DEDUP_CONTAINMENT = 0.72, 0.88
 SAME_IOU = 0.88
 MATCH_LEAST, MATCH_FLOOR, MATCH_SHARE, MATCH_OVERLAP, MATCH_LIMIT = 0.38, 0.45, 0.76, 0.30, 8
 NESTED_CONTAINMENT, NESTED_IOU, PANEL_AREA = 0.82, 0.55, 0.45
-LINE_OVERLAP, GAP_FACTOR, SHORT_AXIS = 0.30, 2.2, 1.6
+PICTURE_GAP, PICTURE_LEAST_GAP, PICTURE_AREA, UNITED_AREA = 0.008, 3, 0.45, 0.35
+# Which lines and regions belong together: axis (0 is x), common share, distance in sides (of which axis), likeness.
+LINES_STACKED = plane.Neighbours(axis=1, share=0.15, reach=0.90, measured=1, pick=max, alike=2.5)
+LINE_FRAGMENTS = plane.Neighbours(axis=0, share=0.35, reach=2.2, measured=1, pick=max)
+REGIONS_STACKED = plane.Neighbours(axis=1, share=0.20, reach=0.90, measured=1, pick=max, alike=2.5)
+REGIONS_BESIDE = plane.Neighbours(axis=0, share=0.20, reach=0.35, measured=0, pick=min, alike=2.5)
 
 
-def greedy(boxes: DataFrame, keys: list[str], order: list[Column], fields: list[str], clash: Callable[[Column, Column], Column], limit: int | None = None) -> DataFrame:
+XYWH = ("x", "y", "x + width", "y + height")
+CORNERS = ("x1", "y1", "x2", "y2")
+
+
+def greedy(boxes: DataFrame, keys: list[str], order: list[Column], fields: list[str], seen: tuple[str, ...], clash: Callable[[tuple, tuple], bool], limit: int | None = None) -> DataFrame:
     """Per key, take boxes in order and keep each that clashes with none kept before; up to limit of them.
 
-    order: columns to sort by, ascending; fields: what is kept. clash(box, kept) is a predicate on structs of fields.
+    order: columns to sort by, ascending; fields: what is kept. clash(box, kept) is a predicate on the numbers that the
+    expressions seen give, corners first; boxes that don't overlap must not clash.
     """
-    row = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.struct(*fields).alias("box"))
-    df = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    kind = df.schema["rows"].dataType.elementType["box"].dataType.simpleString()
-    start = F.array().cast(f"array<{kind}>")
+    out = [*keys, *[c for c in fields if c not in keys]]
+    df = boxes.select(*[F.col(c) for c in out], F.struct(*[F.expr(e).alias(f"e{i}") for i, e in enumerate(seen)]).alias("b_seen"), *[c.alias(f"b_order{i}") for i, c in enumerate(order)])
+    df = df.repartition(*keys).sortWithinPartitions(*keys, *[f"b_order{i}" for i in range(len(order))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept = None, None
+        for batch in batches:
+            taken = []
+            names = zip(*[batch.column(k).to_pylist() for k in keys], strict=True)
+            for name, box in zip(names, zip(*[c.to_pylist() for c in batch.column("b_seen").flatten()], strict=True), strict=True):
+                if name != now:
+                    now, kept = name, plane.Kept(clash, limit)
+                taken.append(kept.take(box))
+            yield batch.select(out).filter(pa.array(taken, pa.bool_()))
+
+    return df.mapInArrow(run, ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in out))
 
-    def step(kept: Column, r: Column) -> Column:
-        refused = F.exists(kept, lambda k: clash(r["box"], k))
-        if limit is not None:
-            refused = refused | (F.size(kept) >= limit)
-        return F.when(refused, kept).otherwise(F.concat(kept, F.array(r["box"])))
 
-    return df.select(*keys, F.explode(F.aggregate("rows", start, step)).alias("b")).select(*keys, "b.*")
+def same_place(a: tuple, b: tuple) -> bool:
+    return plane.iou(a, b) >= DEDUP_IOU or plane.containment(a, b) >= DEDUP_CONTAINMENT
 
 
 def deduplicated(boxes: DataFrame, keys: list[str], fields: list[str], tie: str) -> DataFrame:
     """Larger boxes first; drop what overlaps a kept box or lies in it."""
-    clash = lambda b, k: (g.iou(g.xywh(b), g.xywh(k)) >= DEDUP_IOU) | (g.containment(g.xywh(b), g.xywh(k)) >= DEDUP_CONTAINMENT)
-    return greedy(boxes, keys, [-(F.col("width") * F.col("height")), F.col(tie)], fields, clash)
+    return greedy(boxes, keys, [-(F.col("width") * F.col("height")), F.col(tie)], fields, XYWH, same_place)
 
 
 def distinct_in_order(boxes: DataFrame, keys: list[str], fields: list[str], tie: str) -> DataFrame:
     """Reading order; drop only what is nearly the same as a kept box."""
-    clash = lambda b, k: g.iou(g.xywh(b), g.xywh(k)) >= SAME_IOU
-    return greedy(boxes, keys, [F.col("y"), F.col("x"), F.col("width") * F.col("height"), F.col(tie)], fields, clash)
-
-
-def match_overlap(a: Column, b: Column) -> Column:
-    """Overlap of two matches; matches of different pages do not overlap."""
-    same = a["page_index"] == b["page_index"]
-    return F.when(same, g.iou(g.corners(a), g.corners(b))).otherwise(0.0)
+    order = [F.col("y"), F.col("x"), F.col("width") * F.col("height"), F.col(tie)]
+    return greedy(boxes, keys, order, fields, XYWH, lambda b, k: plane.iou(b, k) >= SAME_IOU)
 
 
 def selected_matches(candidates: DataFrame, keys: list[str], fields: list[str], tie: str, anchor: Column | None = None) -> DataFrame:
     """Per key, up to MATCH_LIMIT matches that do not overlap, best first, above a floor set by the best score.
 
     anchor: the score that sets the floor instead of the best one (null: the best one). Keys whose best score is under
-    MATCH_LEAST give no rows. Only candidates above the floor reach the fold.
+    MATCH_LEAST give no rows. Only candidates above the floor are sorted.
     """
     best = candidates.groupBy(*keys).agg(F.max("score").alias("best"), *([F.max(anchor).alias("anchor")] if anchor is not None else []))
     top = F.coalesce("anchor", "best") if anchor is not None else F.col("best")
     floor = best.filter(F.col("best") >= MATCH_LEAST).select(*keys, F.greatest(F.lit(MATCH_FLOOR), top * MATCH_SHARE).alias("floor"))
     df = candidates.join(floor, keys).filter(F.col("score") >= F.col("floor"))
-    return greedy(df, keys, [-F.col("score"), F.col(tie)], fields, lambda b, k: match_overlap(b, k) >= MATCH_OVERLAP, MATCH_LIMIT)
-
-
-def _stacked(h1, h2, w1, w2, across, gap, share: float):
-    """Lines above each other: heights alike, horizontal overlap, small distance."""
-    return (max(h1, h2) / max(min(h1, h2), 1.0) <= 2.5) and across / max(min(w1, w2), 1.0) >= share and gap <= max(h1, h2) * 0.90
+    # Matches of different pages do not overlap.
+    clash = lambda b, k: b[4] == k[4] and plane.iou(b, k) >= MATCH_OVERLAP
+    return greedy(df, keys, [-F.col("score"), F.col(tie)], fields, (*CORNERS, "page_index"), clash, MATCH_LIMIT)
 
 
 def paragraph_rule(a: tuple, b: tuple) -> bool:
     """Two recognised lines (x1, y1, x2, y2) belong to one paragraph: stacked lines, or fragments of one line."""
-    w1, h1, w2, h2 = max(a[2] - a[0], 1.0), max(a[3] - a[1], 1.0), max(b[2] - b[0], 1.0), max(b[3] - b[1], 1.0)
-    across, down = max(0.0, min(a[2], b[2]) - max(a[0], b[0])), max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-    gap_x, gap_y = max(0.0, max(a[0], b[0]) - min(a[2], b[2])), max(0.0, max(a[1], b[1]) - min(a[3], b[3]))
-    return _stacked(h1, h2, w1, w2, across, gap_y, 0.15) or (down / min(h1, h2) >= 0.35 and gap_x <= max(h1, h2) * 2.2)
+    a, b = ((x[0], x[1], max(x[2], x[0] + 1.0), max(x[3], x[1] + 1.0)) for x in (a, b))
+    return LINES_STACKED(a, b) or LINE_FRAGMENTS(a, b)
 
 
 def region_rule(a: tuple, b: tuple) -> bool:
     """Two text regions (x1, y1, x2, y2) belong together: stacked lines, or neighbours of like width."""
-    w1, h1, w2, h2 = a[2] - a[0], a[3] - a[1], b[2] - b[0], b[3] - b[1]
-    across, down = max(0.0, min(a[2], b[2]) - max(a[0], b[0])), max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-    gap_x, gap_y = max(0.0, max(a[0], b[0]) - min(a[2], b[2])), max(0.0, max(a[1], b[1]) - min(a[3], b[3]))
-    beside = max(w1, w2) / max(min(w1, w2), 1.0) <= 2.5 and down / max(min(h1, h2), 1.0) >= 0.20 and gap_x <= min(w1, w2) * 0.35
-    return _stacked(h1, h2, w1, w2, across, gap_y, 0.20) or beside
+    return REGIONS_STACKED(a, b) or REGIONS_BESIDE(a, b)
 
 
 def joined_groups(rows: DataFrame, keys: list[str], tie: str, rule: Callable[[tuple, tuple], bool], reach: float) -> DataFrame:
@@ -123,22 +129,24 @@ def joined_groups(rows: DataFrame, keys: list[str], tie: str, rule: Callable[[tu
         return [ties[find(i)] for i in range(len(boxes))]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Pages come one after the other; the last page of a batch waits for the next batch."""
-        held = None
+        """Pages come one after the other; the parts of a page are put together once."""
+        now, held = None, []
         for frame in frames:
-            if held is not None:
-                frame = pd.concat([held, frame], ignore_index=True)
             pages = list(zip(*[frame[k].map(repr) for k in keys], strict=True))
             cuts = [0, *[i for i in range(1, len(pages)) if pages[i] != pages[i - 1]], len(pages)]
-            yield work(frame.iloc[: cuts[-2]], cuts[:-1])
-            held = frame.iloc[cuts[-2] :]
-        if held is not None and len(held):
-            yield work(held, [0, len(held)])
-
-    def work(frame: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
-        boxes = list(zip(*[frame[c].astype(float) for c in ("x1", "y1", "x2", "y2")], strict=True))
-        ties = frame[tie].tolist()
-        return frame.assign(root=[r for a, b in zip(cuts, cuts[1:], strict=False) for r in sweep(boxes[a:b], ties[a:b])])
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and pages[a] != now:
+                    yield work(held)
+                    held = []
+                now = pages[a] if b > a else now
+                held.append(frame.iloc[a:b])
+        if held:
+            yield work(held)
+
+    def work(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        frame = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+        boxes = list(zip(*[frame[c].astype(float) for c in CORNERS], strict=True))
+        return frame.assign(root=sweep(boxes, frame[tie].tolist()) if boxes else [])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + f", root {rows.schema[tie].dataType.simpleString()}"
     return rows.repartition(*keys).sortWithinPartitions(*keys, "y1", tie).mapInPandas(run, schema)
@@ -167,8 +175,8 @@ class _named:
 def consolidated(regions: DataFrame, keys: list[str], tie: str, fields: list[str], page_area: float) -> DataFrame:
     """Text regions to paragraphs: whole-panel and nested boxes go, neighbours are joined and their boxes united."""
     df = without_panels(regions, keys, tie, page_area)
-    nested = lambda b, k: (g.containment(g.xywh(b), g.xywh(k)) >= NESTED_CONTAINMENT) | (g.iou(g.xywh(b), g.xywh(k)) >= NESTED_IOU)
-    df = greedy(df, keys, [-(F.col("width") * F.col("height")), F.col(tie)], fields, nested)
+    nested = lambda b, k: plane.containment(b, k) >= NESTED_CONTAINMENT or plane.iou(b, k) >= NESTED_IOU
+    df = greedy(df, keys, [-(F.col("width") * F.col("height")), F.col(tie)], fields, XYWH, nested)
     df = df.withColumns({"x1": F.col("x"), "y1": F.col("y"), "x2": F.col("x") + F.col("width"), "y2": F.col("y") + F.col("height")})
     df = joined_groups(df, keys, tie, region_rule, 1.0)
     df = df.groupBy(*keys, "root").agg(*[f(c).alias(c) for c, f in (("x1", F.min), ("y1", F.min), ("x2", F.max), ("y2", F.max), ("confidence", F.max))], F.count("*").alias("members"))
@@ -176,71 +184,64 @@ def consolidated(regions: DataFrame, keys: list[str], tie: str, fields: list[str
 
 
 def merged_along(boxes: DataFrame, keys: list[str], tie: str, horizontal: bool) -> DataFrame:
-    """Character boxes to text lines along one axis. In order, each box joins the nearest group it fits (the first of
-    equals) and widens it; a group must not grow thick. Groups of two or more boxes are returned."""
-    lo, hi, olo, ohi = ("x1", "x2", "y1", "y2") if horizontal else ("y1", "y2", "x1", "x2")
-    corners = [F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("width")).alias("x2"), (F.col("y") + F.col("height")).alias("y2")]
-    first = [F.col("x"), F.col("y")] if horizontal else [F.col("y"), F.col("x")]
-    row = F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*first, F.col(tie)])], *corners)
-    df = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.array().cast("array<struct<x1:bigint,y1:bigint,x2:bigint,y2:bigint,n:bigint>>")
-
-    def gap(a: Column, b: Column) -> Column:
-        return F.greatest(F.lit(0), F.greatest(a[lo], b[lo]) - F.least(a[hi], b[hi]))
-
-    def fits(a: Column, b: Column) -> Column:
-        ta, tb = a[ohi] - a[olo], b[ohi] - b[olo]
-        both = F.greatest(F.lit(0), F.least(a[ohi], b[ohi]) - F.greatest(a[olo], b[olo]))
-        thick = F.greatest(a[ohi], b[ohi]) - F.least(a[olo], b[olo])
-        return (both / F.greatest(F.least(ta, tb), F.lit(1)) >= LINE_OVERLAP) & (gap(a, b) <= F.greatest(F.lit(3), F.least(ta, tb)) * GAP_FACTOR) & (thick <= F.greatest(ta, tb) * SHORT_AXIS)
-
-    def step(groups: Column, b: Column) -> Column:
-        near = F.array_min(F.transform(groups, lambda a, i: F.when(fits(a, b), F.struct(gap(a, b).alias("d"), i.alias("i")))))
-        alone = F.struct(b["x1"].alias("x1"), b["y1"].alias("y1"), b["x2"].alias("x2"), b["y2"].alias("y2"), F.lit(1).cast("long").alias("n"))
-        wider = lambda a: F.struct(F.least(a["x1"], b["x1"]).alias("x1"), F.least(a["y1"], b["y1"]).alias("y1"), F.greatest(a["x2"], b["x2"]).alias("x2"), F.greatest(a["y2"], b["y2"]).alias("y2"), (a["n"] + 1).alias("n"))
-        # near is bound once, as the element of a one-element array.
-        return F.get(F.transform(F.array(near), lambda m: F.when(m.isNull(), F.concat(groups, F.array(alone))).otherwise(F.transform(groups, lambda a, i: F.when(i == m["i"], wider(a)).otherwise(a)))), F.lit(0))
-
-    df = df.select(*keys, F.explode(F.aggregate("rows", start, step)).alias("l")).select(*keys, "l.*").filter("n >= 2")
-    return df.select(*keys, F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("height"), F.col("n").alias("members"))
-
-
-def merged_pictures(boxes: DataFrame, keys: list[str], tie: str, width: int, height: int) -> DataFrame:
-    """Picture boxes that meet within a small gap are united, again and again, while the union stays under 0.35 of the page.
+    """Character boxes to text lines along one axis. The boxes of a page are one frame; groups of two or more boxes are returned."""
 
-    The outcome depends on order (last box first), so a page is worked on as one frame.
-    """
-    gap_x, gap_y, whole = max(3, round(width * 0.008)), max(3, round(height * 0.008)), max(width * height, 1)
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        b = frame.sort_values(tie)[["x", "y", "width", "height"]].to_numpy(float)
+        groups, members = plane.lines(np.column_stack((b[:, :2], b[:, :2] + b[:, 2:])), 0 if horizontal else 1)
+        groups, members = groups[members >= 2], members[members >= 2]
+        out = pd.DataFrame(np.column_stack((groups[:, :2], groups[:, 2:] - groups[:, :2])).astype(np.int64), columns=["x", "y", "width", "height"])
+        return out.assign(members=members, **{k: frame[k].iloc[0] for k in keys})
+
+    kinds = ", ".join(f"{k} {boxes.schema[k].dataType.simpleString()}" for k in keys)
+    return boxes.groupBy(*keys).applyInPandas(work, f"x long, y long, width long, height long, members long, {kinds}")
+
+
+def absorbed(box: np.ndarray, others: np.ndarray, gap: np.ndarray, fits: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """(box grown by those of the others that it takes, which others are left). The others (corners, one a row) are looked
+    at once, in order, always against the box as it is by then."""
+    left, at = np.ones(len(others), bool), 0
+    while at < len(others):
+        low, high = np.minimum(box[:2], others[at:, :2]), np.maximum(box[2:], others[at:, 2:])
+        meets = (np.minimum(box[2:] + gap, others[at:, 2:]) > np.maximum(box[:2] - gap, others[at:, :2])).all(1)
+        found = np.flatnonzero(meets & fits((high - low).prod(1)))
+        if not len(found):
+            break
+        k = found[0]
+        box, at = np.concatenate((low[k], high[k])), at + k + 1
+        left[at - 1] = False
+    return box, left
+
+
+def united_pictures(b: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Picture boxes (corners) that meet within a small gap are united, again and again, while the union stays small; then what
+    lies in a larger one goes, the largest first. The last box comes first."""
+    gap = np.array([max(PICTURE_LEAST_GAP, round(n * PICTURE_GAP)) for n in (width, height)])
+    whole = max(width * height, 1)
+    todo = b[(b[:, 2:] - b[:, :2]).prod(1) / whole <= PICTURE_AREA]
+    while True:
+        done, rest = [], todo
+        while len(rest):
+            box, left = absorbed(rest[-1], rest[:-1], gap, lambda area: area / whole <= UNITED_AREA)
+            done.append(box)
+            rest = rest[:-1][left]
+        found = np.array(done).reshape(-1, 4)
+        if len(found) == len(todo):
+            break
+        todo = found
+    found = found[np.argsort(-(found[:, 2:] - found[:, :2]).prod(1), kind="stable")]
+    kept = plane.Kept(same_place)
+    return found[np.array([kept.take(tuple(r)) for r in found.tolist()], bool)]
 
-    def meets(a: list, b: list) -> bool:
-        return min(a[0] + a[2] + gap_x, b[0] + b[2]) > max(a[0] - gap_x, b[0]) and min(a[1] + a[3] + gap_y, b[1] + b[3]) > max(a[1] - gap_y, b[1])
 
-    def united(a: list, b: list) -> list:
-        x, y = min(a[0], b[0]), min(a[1], b[1])
-        return [x, y, max(a[0] + a[2], b[0] + b[2]) - x, max(a[1] + a[3], b[1] + b[3]) - y]
+def merged_pictures(boxes: DataFrame, keys: list[str], tie: str, width: int, height: int) -> DataFrame:
+    """united_pictures of each page, numbered. The outcome depends on order, so a page is worked on as one frame."""
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(tie)
-        todo = [b for b in frame[["x", "y", "width", "height"]].to_numpy().tolist() if b[2] * b[3] / whole <= 0.45]
-        again = True
-        while again:
-            again, done = False, []
-            while todo:
-                box, rest = todo.pop(), []
-                for other in todo:
-                    both = united(box, other) if meets(box, other) else None
-                    if both and both[2] * both[3] / whole <= 0.35:
-                        box, again = both, True
-                    else:
-                        rest.append(other)
-                todo = rest
-                done.append(box)
-            todo = done
-        out = pd.DataFrame(todo, columns=["x", "y", "width", "height"])
-        for k in keys:
-            out[k] = frame[k].iloc[0]
-        out["number"] = range(len(out))
-        return out
+        b = frame.sort_values(tie)[["x", "y", "width", "height"]].to_numpy()
+        found = united_pictures(np.column_stack((b[:, :2], b[:, :2] + b[:, 2:])), width, height)
+        out = pd.DataFrame(np.column_stack((found[:, :2], found[:, 2:] - found[:, :2])), columns=["x", "y", "width", "height"])
+        return out.assign(**{k: frame[k].iloc[0] for k in keys}, number=range(len(out)))
 
     schema = "x long, y long, width long, height long, " + ", ".join(f"{k} long" for k in keys) + ", number long"
     return boxes.groupBy(*keys).applyInPandas(work, schema)

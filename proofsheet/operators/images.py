@@ -1,8 +1,8 @@
 """Dense image kernels: one row an image, NumPy inside Arrow batches.
 
-An image is (image_id, height, width, plane...) where a plane is its samples row by row. A single image is bounded by
-the pixel budget (MAX_PIXELS, checked before samples are gathered), so a task holds few of them; the number of images
-is not bounded and needs no shuffle beyond the one that gathers pixels.
+An image is (image_id, height, width, error, plane...) where a plane is its samples row by row. A single image is bounded
+by the pixel budget (MAX_PIXELS, checked before samples are gathered), so a task holds few of them; the number of images
+is not bounded and needs no shuffle beyond the one that gathers rows of samples.
 """
 
 from __future__ import annotations
@@ -24,26 +24,43 @@ MIN_AREA, MERGE_GAP = 30, 5
 MAXIMA_SIZE, MIN_MATCH = 17, 0.38
 
 
-def gather(pixels: DataFrame, *planes: str) -> DataFrame:
-    """Pixel rows (image_id, y, x, planes...) to image rows. Images over the pixel budget are left out."""
-    row = F.struct("y", "x", *planes)
-    df = pixels.groupBy("image_id").agg(F.max("y").alias("y1"), F.max("x").alias("x1"), F.array_sort(F.collect_list(row)).alias("p"))
-    df = df.filter((F.col("y1") + 1) * (F.col("x1") + 1) <= MAX_PIXELS)
-    return df.select("image_id", (F.col("y1") + 1).alias("height"), (F.col("x1") + 1).alias("width"), *[F.col(f"p.{c}").cast("array<double>").alias(c) for c in planes])
+def sizes(rows: DataFrame, plane: str, max_pixels: int = MAX_PIXELS) -> DataFrame:
+    """image_id, height, width and an error for images over the pixel budget, from rows (image_id, y, planes as arrays)."""
+    df = rows.groupBy("image_id").agg((F.max("y") + 1).alias("height"), F.max(F.size(plane)).cast("long").alias("width"))
+    return df.withColumn("error", F.when(F.col("height") * F.col("width") > max_pixels, "over_budget"))
+
+
+def gather(rows: DataFrame, *planes: str, max_pixels: int = MAX_PIXELS) -> DataFrame:
+    """Rows of images (image_id, y, planes as arrays) to one row an image: height, width, error, planes.
+
+    Sizes come first, from partial aggregates; an image over the budget is never gathered and keeps its row, with an
+    error and without samples.
+    """
+    found = sizes(rows, planes[0], max_pixels)
+    good = rows.join(found.filter("error IS NULL").select("image_id"), "image_id", "left_semi")
+    df = good.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", *planes))).alias("p"))
+    return found.join(df.select("image_id", *[F.flatten(F.col(f"p.{c}")).alias(c) for c in planes]), "image_id", "left")
 
 
 def map_images(images: DataFrame, kernel: Callable, schema: str, *planes: str) -> DataFrame:
-    """kernel(*planes as 2-D arrays) gives a dict of equally long columns for each image; image_id is put first."""
+    """kernel(*planes as 2-D arrays) gives a dict of equally long columns for each image; image_id is put first and the
+    image's error last. An image with an error gives one row without values."""
+    names = [c.split()[0] for c in schema.split(",")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples(index=False):
-                shape = (int(r.height), int(r.width))
-                found = pd.DataFrame(kernel(*[np.asarray(getattr(r, c), float).reshape(shape) for c in planes]))
+                error = getattr(r, "error", None)
+                if error is None:
+                    shape = (int(r.height), int(r.width))
+                    found = pd.DataFrame(kernel(*[np.asarray(getattr(r, c), float).reshape(shape) for c in planes]))
+                else:
+                    found = pd.DataFrame({c: [None] for c in names})
                 found.insert(0, "image_id", r.image_id)
+                found["error"] = error
                 yield found
 
-    return images.mapInPandas(run, f"image_id long, {schema}")
+    return images.mapInPandas(run, f"image_id long, {schema}, error string")
 
 
 def gaussian(size: int, sigma: float = 0) -> np.ndarray:
@@ -67,10 +84,14 @@ def blur(v: np.ndarray, kernel: np.ndarray, border: str = "reflect") -> np.ndarr
 
 def slide(v: np.ndarray, size: int, best: Callable, outside: float) -> np.ndarray:
     """Sliding minimum or maximum over a square; places outside the image don't count."""
-    r = size // 2
-    p = np.pad(v, r, constant_values=outside)
-    rows = best.reduce([p[:, i : i + v.shape[1]] for i in range(size)])
-    return best.reduce([rows[i : i + v.shape[0]] for i in range(size)])
+    return slide_box(v, size, size, best, outside)
+
+
+def slide_box(v: np.ndarray, height: int, width: int, best: Callable, outside: float) -> np.ndarray:
+    """Sliding minimum or maximum over a rectangle around each place (of even sides the middle is the later one)."""
+    p = np.pad(v, ((height // 2, (height - 1) // 2), (width // 2, (width - 1) // 2)), constant_values=outside)
+    rows = best.reduce([p[:, i : i + v.shape[1]] for i in range(width)])
+    return best.reduce([rows[i : i + v.shape[0]] for i in range(height)])
 
 
 def dilate(mask: np.ndarray, size: int) -> np.ndarray:
@@ -127,20 +148,23 @@ def labelled(mask: np.ndarray) -> np.ndarray:
         return i
 
     runs: list[tuple[int, int, int]] = []
-    last: list[tuple[int, int, int]] = []
+    before: list[tuple[int, int, int]] = []
     for y, row in enumerate(mask > 0):
         edge = np.diff(row.astype(np.int8), prepend=0, append=0)
-        now = []
+        now, first = [], 0
         for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
             k = len(up)
             up.append(k)
             runs.append((y, a, b))
             now.append((a, b, k))
-            for la, lb, lk in last:
-                if la <= b and a <= lb:
-                    x, z = find(lk), find(k)
-                    up[max(x, z)] = min(x, z)
-        last = now
+            while first < len(before) and before[first][1] < a:  # ends left of all runs to come
+                first += 1
+            for at in range(first, len(before)):
+                if before[at][0] > b:
+                    break
+                x, z = find(before[at][2]), find(k)
+                up[max(x, z)] = min(x, z)
+        before = now
     out = np.zeros(mask.shape, np.int64)
     names: dict[int, int] = {}
     for k, (y, a, b) in enumerate(runs):
@@ -149,14 +173,15 @@ def labelled(mask: np.ndarray) -> np.ndarray:
 
 
 def component_boxes(mask: np.ndarray) -> dict:
-    """Bounding box and size of each component."""
+    """Bounding box and size of each component, in one pass over the set pixels."""
     found = labelled(mask)
-    out = {"x": [], "y": [], "width": [], "height": [], "area": []}
-    for k in range(1, int(found.max(initial=0)) + 1):
-        y, x = np.nonzero(found == k)
-        for name, v in zip(out, (x.min(), y.min(), x.max() - x.min() + 1, y.max() - y.min() + 1, len(x)), strict=True):
-            out[name].append(int(v))
-    return out
+    y, x = np.nonzero(found)
+    k, n = found[y, x] - 1, int(found.max(initial=0))
+    low, high = np.full((2, n), max(mask.shape)), np.full((2, n), -1)
+    for axis, v in enumerate((x, y)):
+        np.minimum.at(low[axis], k, v)
+        np.maximum.at(high[axis], k, v)
+    return {"x": low[0], "y": low[1], "width": high[0] - low[0] + 1, "height": high[1] - low[1] + 1, "area": np.bincount(k, minlength=n)}
 
 
 def difference_boxes(mask: np.ndarray, min_area: float = MIN_AREA, gap: int = MERGE_GAP) -> dict:
@@ -185,15 +210,109 @@ def local_maxima(score: np.ndarray, size: int = MAXIMA_SIZE, least: float = MIN_
     return {"x": x, "y": y, "score": score[y, x]}
 
 
+def window_sums(v: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Sums of all windows of this size, by a table of sums."""
+    t = np.pad(v, ((1, 0), (1, 0))).cumsum(0).cumsum(1)
+    return t[height:, width:] - t[:-height, width:] - t[height:, :-width] + t[:-height, :-width]
+
+
 def match_scores(image: np.ndarray, template: np.ndarray) -> np.ndarray:
-    """Normalised correlation of the template with each place of the image; flat places have 0."""
-    views = np.lib.stride_tricks.sliding_window_view(image, template.shape)
+    """Normalised correlation of the template with each place of the image; flat places have 0.
+
+    Products by Fourier transforms, means and spreads by tables of sums: the work does not grow with the template.
+    """
+    h, w = template.shape
+    shape = [n + m - 1 for n, m in zip(image.shape, template.shape, strict=True)]
     t = template - template.mean()
-    mean = views.mean((2, 3))
-    top = np.einsum("abij,ij->ab", views, t)
-    spread = np.einsum("abij,abij->ab", views, views) - template.size * mean * mean
+    around = np.fft.irfft2(np.fft.rfft2(image - image.mean(), shape) * np.fft.rfft2(t[::-1, ::-1], shape), shape)
+    top = around[h - 1 : image.shape[0], w - 1 : image.shape[1]]
+    total = window_sums(image, h, w)
+    spread = window_sums(image * image, h, w) - total * total / template.size
+    flat = spread <= 1e-9 * np.maximum(1.0, total * total / template.size)
     low = np.sqrt(np.maximum(spread, 0) * (t * t).sum())
-    return np.where(low > 1e-9, top / np.where(low > 1e-9, low, 1), 0.0)
+    return np.where(flat | (low <= 1e-9), 0.0, top / np.where(low > 1e-9, low, 1))
+
+
+def weights(n: int, m: int, how: str) -> np.ndarray:
+    """(m, n) weights that resample n samples to m: area (means of what a new sample covers), linear or cubic."""
+    out = np.zeros((m, n))
+    if how == "area" and m < n:
+        edge = np.arange(m + 1) * (n / m)
+        cover = np.minimum(edge[1:, None], np.arange(1, n + 1)) - np.maximum(edge[:-1, None], np.arange(n))
+        return np.maximum(cover, 0) * (m / n)
+    at = (np.arange(m) + 0.5) * (n / m) - 0.5
+    low = np.floor(at).astype(int)
+    d = (at - low)[:, None]
+    if how == "cubic":
+        k = np.abs(d - np.arange(-1, 3))
+        w = np.where(k <= 1, (1.25 * k - 2.25) * k * k + 1, ((-0.75 * k + 3.75) * k - 6) * k + 3)
+        near = low[:, None] + np.arange(-1, 3)
+    else:
+        w, near = np.concatenate((1 - d, d), axis=1), low[:, None] + np.arange(2)
+    np.add.at(out, (np.arange(m)[:, None], np.clip(near, 0, n - 1)), w)
+    return out
+
+
+def resized(v: np.ndarray, height: int, width: int, how: str) -> np.ndarray:
+    """Levels resampled to another size, rounded; samples outside repeat the edge."""
+    return np.clip(np.floor(weights(v.shape[0], height, how) @ v @ weights(v.shape[1], width, how).T + 0.5), 0, 255)
+
+
+def resized_to(v: np.ndarray, height: int, width: int) -> tuple[np.ndarray, float, float]:
+    """(v in another picture's size, factors of width and height); by area if a side shrinks, else linearly."""
+    h, w = v.shape
+    factors = round(width / w, 6), round(height / h, 6)
+    return (v if (h, w) == (height, width) else resized(v, height, width, "area" if h > height or w > width else "linear")), *factors
+
+
+def equalised(v: np.ndarray) -> np.ndarray:
+    """Levels spread so that all are about equally frequent; a picture of one level stays."""
+    counts = np.bincount(v.astype(int).ravel(), minlength=256)
+    first = counts[np.flatnonzero(counts)[0]]
+    if first == v.size:
+        return v
+    return np.rint((np.cumsum(counts) - first) * (255.0 / (v.size - first)))[v.astype(int)]
+
+
+def warped(v: np.ndarray, scale: float, rotation: float, x: float, y: float, height: int, width: int) -> np.ndarray:
+    """A picture moved by the similarity transform that takes its places to those of a (height, width) picture; linear, and
+    places from outside repeat the edge."""
+    turn = scale * np.exp(1j * np.radians(rotation))
+    at = ((np.arange(width)[None] + 1j * np.arange(height)[:, None]) - (x + 1j * y)) / turn
+    px, py = np.clip(at.real, 0, v.shape[1] - 1), np.clip(at.imag, 0, v.shape[0] - 1)
+    x0, y0 = np.floor(px).astype(int), np.floor(py).astype(int)
+    x1, y1 = np.minimum(x0 + 1, v.shape[1] - 1), np.minimum(y0 + 1, v.shape[0] - 1)
+    fx, fy = px - x0, py - y0
+    top, low = v[y0, x0] * (1 - fx) + v[y0, x1] * fx, v[y1, x0] * (1 - fx) + v[y1, x1] * fx
+    return np.floor(top * (1 - fy) + low * fy + 0.5)
+
+
+def contrasted(v: np.ndarray, tiles: int = 8, clip: float = 2.0, sigma: float = 1.0, amount: float = 0.45) -> np.ndarray:
+    """A picture made easier to read: levels equalised by tile with a limit, tiles blended, then sharpened."""
+    height, width = v.shape
+    rows, columns = (np.linspace(0, n, min(tiles, n) + 1).astype(int) for n in (height, width))
+    tables = np.empty((len(rows) - 1, len(columns) - 1, 256))
+    for i, (t, b) in enumerate(zip(rows, rows[1:], strict=False)):
+        for j, (le, r) in enumerate(zip(columns, columns[1:], strict=False)):
+            counts = np.bincount(v[t:b, le:r].astype(int).ravel(), minlength=256).astype(float)
+            most = max(1.0, clip * counts.sum() / 256)
+            over = np.maximum(counts - most, 0).sum()
+            tables[i, j] = np.cumsum(np.minimum(counts, most) + over / 256) * (255.0 / counts.sum())
+
+    def between(n: int, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        middle = (edges[:-1] + edges[1:] - 1) / 2
+        hi = np.clip(np.searchsorted(middle, np.arange(n)), 0, len(middle) - 1)
+        lo = np.maximum(hi - 1, 0)
+        span = np.where(hi > lo, middle[hi] - middle[lo], 1)
+        return lo, hi, np.clip((np.arange(n) - middle[lo]) / span, 0, 1)
+
+    (i0, i1, fi), (j0, j1, fj) = between(height, rows), between(width, columns)
+    level, y = v.astype(int), np.ix_(np.arange(height), np.arange(width))
+    pick = lambda i, j: tables[i[:, None], j[None], level[y]]
+    top = pick(i0, j0) * (1 - fj) + pick(i0, j1) * fj
+    low = pick(i1, j0) * (1 - fj) + pick(i1, j1) * fj
+    even = np.floor(top * (1 - fi)[:, None] + low * fi[:, None] + 0.5)
+    return np.clip(np.floor((1 + amount) * even - amount * blur(even, gaussian(7, sigma)) + 0.5), 0, 255)
 
 
 def adaptive_foreground(v: np.ndarray, offset: int = 7) -> tuple[np.ndarray, np.ndarray]:

@@ -86,12 +86,18 @@ def difference_line() -> Column:
 
 
 def analysed(lines: DataFrame) -> DataFrame:
-    """Append the counts of scripts, score_* of each language, language and conflict."""
+    """Append the counts of scripts, score_* of each language, language and conflict.
+
+    What several results need is a column of its own, so that no expression is worked out twice.
+    """
     text = F.trim("text")
-    df = lines.withColumns({**tx.script_counts(text), "a_words": tx.words(text)})
-    df = df.withColumns({f"score_{k}": v for k, v in tx.language_scores(text, F.col("a_words")).items()})
-    language, conflict = tx.analysis({k: F.col(k) for k in tx.SCRIPTS}, {k: F.col(f"score_{k}") for k in tx.LANGUAGES}, text, F.size("a_words"))
-    return df.withColumns({"language": language, "conflict": conflict}).drop("a_words")
+    df = lines.withColumns({"a_strange": tx.unfamiliar(text), "a_words": tx.words(text)})
+    df = df.withColumns({"a_listed": tx.listed_words(F.col("a_words")), "a_n": F.size("a_words"), **tx.script_counts(text, F.col("a_strange"))})
+    df = df.withColumns({f"score_{k}": v for k, v in tx.language_scores(text, F.col("a_listed")).items()})
+    ranked = tx.best_language({k: F.col(f"score_{k}") for k in tx.LANGUAGES})
+    df = df.withColumns(dict(zip(("a_lang", "a_best", "a_second"), ranked, strict=True)))
+    language, conflict = tx.analysis({k: F.col(k) for k in tx.SCRIPTS}, tuple(F.col(c) for c in ("a_lang", "a_best", "a_second")), text, F.col("a_n"))
+    return df.withColumns({"language": language, "conflict": conflict}).drop(*[c for c in df.columns if c.startswith("a_") and c not in lines.columns])
 
 
 def _counted() -> dict[str, Column]:
@@ -103,13 +109,15 @@ def _counted() -> dict[str, Column]:
 def context_languages(lines: DataFrame, keys: list[str], tie: str) -> DataFrame:
     """keys, tie, context: the language that a line and its neighbours in the same block point to, or null.
 
-    A neighbour lies within a bounded distance, so lines are dealt into horizontal bands as high as that distance and
-    joined with the bands at hand; a page of any length costs its lines times the lines of three bands.
+    A neighbour lies within CONTEXT_GAP or CONTEXT_LINES heights of the higher line of both. Lines are dealt into horizontal
+    bands by where they begin, as high as the highest line of their page and that distance together, and joined with the
+    bands at hand; a page of any length costs its lines times the lines of three bands.
     """
     own = analysed(lines).withColumns({f"c_{k}": v for k, v in _counted().items()})
     own = own.select(*keys, tie, "x1", "y1", "x2", "y2", *[f"c_{k}" for k in tx.LANGUAGES])
-    band = CONTEXT_GAP * 8
-    a = own.withColumn("band", F.floor(F.col("y1") / band))
+    high_most = F.max(F.greatest(F.col("y2") - F.col("y1"), F.lit(1)))
+    bands = own.groupBy(*keys).agg((high_most + F.greatest(F.lit(CONTEXT_GAP), CONTEXT_LINES * high_most)).alias("band_height"))
+    a = own.join(bands, keys).withColumn("band", F.floor(F.col("y1") / F.col("band_height"))).drop("band_height")
     b = a.withColumn("band", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])))
     l, r = g.corners(_row("a")), g.corners(_row("b"))
     wide = lambda c: F.greatest(c[2] - c[0], F.lit(1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import feeds, layout, reading, verdicts, visual  # noqa: F401
+from . import feeds, layout, reading, verdicts, visual, whole  # noqa: F401
 from .registry import REGISTRY
 
 

@@ -74,13 +74,13 @@ def json_requests(t: Relations) -> DataFrame:
 
 @query(
     "doc_id long, pos long, x1 long, y1 long, x2 long, y2 long, number long",
-    "SELECT doc_id, pos, x1 + doc_id % 7 * 100 AS x1, y1 + doc_id % 5 * 50 AS y1, x2 + doc_id % 7 * 100 AS x2, y2 + doc_id % 5 * 50 AS y2, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY y1 + doc_id % 5 * 50, x1 + doc_id % 7 * 100, doc_id, pos) AS number FROM ocr_line",
+    "SELECT doc_id, pos, x1 + doc_id % 7 * 100 AS x1, y1 + doc_id % 5 * 50 AS y1, x2 + doc_id % 7 * 100 AS x2, y2 + doc_id % 5 * 50 AS y2, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY y1 + doc_id % 5 * 50, x1 + doc_id % 7 * 100, doc_id, pos) AS number FROM ocr_line",
 )
 def patch_translation(t: Relations) -> DataFrame:
-    """Lines read in patches, moved to their place on the panel and put in reading order there."""
+    """Lines read in patches, moved to their place on a panel of twenty documents and put in reading order there."""
     dx, dy = F.col("doc_id") % 7 * 100, F.col("doc_id") % 5 * 50
     df = t.ocr_line.select("doc_id", "pos", (F.col("x1") + dx).alias("x1"), (F.col("y1") + dy).alias("y1"), (F.col("x2") + dx).alias("x2"), (F.col("y2") + dy).alias("y2"))
-    return df.withColumn("number", F.row_number().over(Window.partitionBy(F.col("doc_id") % 50).orderBy("y1", "x1", "doc_id", "pos")))
+    return df.withColumn("number", F.row_number().over(Window.partitionBy(F.floor(F.col("doc_id") / 20)).orderBy("y1", "x1", "doc_id", "pos")))
 
 
 @query(
@@ -114,7 +114,7 @@ def gray_levels(t: Relations) -> DataFrame:
 @query("image_id long, bytes long, sha256 string")
 def saved_images(t: Relations) -> DataFrame:
     """Pictures encoded as PNG files, by size and hash (rows only)."""
-    df = files.encoded(images.gather(t.pixel, "v"), "v")
+    df = files.encoded(images.gather(t.image_row, "a"), "a")
     return df.select("image_id", F.octet_length("png").alias("bytes"), F.sha2("png", 256).alias("sha256"))
 
 
@@ -136,11 +136,11 @@ _COMPARED = f"""{visual._SSIM.replace('WITH ', 'WITH RECURSIVE ', 1)}, {visual._
 )
 def compare_images(t: Relations) -> DataFrame:
     """A whole comparison of image pairs in one pass over the images: similarity, differences, severity, score, verdict."""
-    return compared(images.gather(t.pixel_pair, "a", "b"))
+    return compared(visual.pair_images(t))
 
 
 def compared(pairs: DataFrame) -> DataFrame:
-    """pairs(image_id, height, width, a, b) -> one row each. One Arrow pass; nothing is shuffled but the gathered pixels."""
+    """pairs(image_id, height, width, error, a, b) -> one row each; images with an error have FAILED. One Arrow pass; nothing is shuffled but the gathered rows."""
     import numpy as np
 
     def kernel(a, b):
@@ -157,4 +157,4 @@ def compared(pairs: DataFrame) -> DataFrame:
     region = F.when(F.col("boxes") > 0, de.rank(pixels.area_severity(F.col("largest"))))
     df = df.withColumn("severity", de.overall_severity(region, F.col("rate"), F.col("local_ssim")))
     df = df.withColumn("score", de.image_score(*[F.col(c) for c in ("global_ssim", "local_ssim", "rate", "box_rate", "severity")]))
-    return df.withColumn("status", F.when(F.col("boxes") > 0, "ERROR").otherwise("PASS"))
+    return df.withColumn("status", F.when(F.col("error").isNotNull(), "FAILED").when(F.col("boxes") > 0, "ERROR").otherwise("PASS"))

@@ -100,11 +100,11 @@ def candidates(t: Relations) -> DataFrame:
 
 
 _SELECTED = "template long, cand_id long, page_index long, score double, x1 long, y1 long, x2 long, y2 long, number long"
-_NUMBER = "row_number() OVER (PARTITION BY template ORDER BY page_index, y1, x1) AS number"
+_NUMBER = "row_number() OVER (PARTITION BY template ORDER BY page_index, y1, x1, cand_id) AS number"
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    return df.withColumn("number", F.row_number().over(Window.partitionBy("template").orderBy("page_index", "y1", "x1")))
+    return df.withColumn("number", F.row_number().over(Window.partitionBy("template").orderBy("page_index", "y1", "x1", "cand_id")))
 
 
 @query(
@@ -305,14 +305,14 @@ def image_region_filter(t: Relations) -> DataFrame:
 
 @query(
     "page_index long, region_id long",
-    f"""WITH d AS (SELECT * FROM diff_box WHERE region_id % 3 = 0), r AS (SELECT page_index, x, y, width, height FROM region_candidate WHERE class_id = 1 AND region_id % 40 < 20 UNION ALL
+    f"""WITH d AS (SELECT * FROM diff_box), r AS (SELECT page_index, x, y, width, height FROM region_candidate WHERE class_id = 1 AND region_id % 40 < 20 UNION ALL
         SELECT page_index, x * 1.1::DOUBLE, y * 0.9::DOUBLE, width * 1.1::DOUBLE, height * 0.9::DOUBLE FROM region_candidate WHERE class_id = 1 AND region_id % 40 >= 20)
         SELECT page_index, region_id FROM d WHERE EXISTS (SELECT 1 FROM r WHERE r.page_index = d.page_index AND ((d.x + d.width / 2 BETWEEN r.x AND r.x + r.width AND d.y + d.height / 2 BETWEEN r.y AND r.y + r.height)
         OR {_common('d', 'r')} / greatest(d.width * d.height, 1) >= 0.1 OR {_common('d', 'r')} / greatest(r.width * r.height, 1) >= 0.1))""",
 )
 def diff_box_region_semijoin(t: Relations) -> DataFrame:
     """Difference boxes that meet a picture region of either side; the second side is scaled to the first."""
-    d = t.diff_box.filter("region_id % 3 = 0")
+    d = t.diff_box
     pictures = t.region_candidate.filter("class_id = 1")
     scale = {"x": 1.1, "y": 0.9, "width": 1.1, "height": 0.9}
     one = pictures.filter("region_id % 40 < 20").select("page_index", *[F.col(c).cast("double").alias(c) for c in scale])
@@ -368,13 +368,13 @@ def roi_render_geometry(t: Relations) -> DataFrame:
 @query(
     "image_id long, region_id long, path string, n long, total long",
     """SELECT b.image_id, region_id, format('panel_{:02d}_text_{:04d}.png', b.image_id, r) AS path, count(*) AS n, sum(v) AS total FROM
-        (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y, x, region_id) AS r FROM feature_box WHERE region_id % 3 <> 1) b
+        (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y, x, region_id) AS r FROM feature_box) b
         JOIN pixel p ON p.image_id = b.image_id AND p.x >= b.x AND p.x < b.x + b.width AND p.y >= b.y AND p.y < b.y + b.height GROUP BY ALL""",
 )
 def crop_patches(t: Relations) -> DataFrame:
     """Patches of the text regions: their file names and the sums of their samples."""
     order = Window.partitionBy("image_id").orderBy("y", "x", "region_id")
-    df = t.feature_box.filter("region_id % 3 <> 1").withColumn("r", F.row_number().over(order))
+    df = t.feature_box.withColumn("r", F.row_number().over(order))
     path = F.format_string("panel_%02d_text_%04d.png", "image_id", "r")
     df = df.withColumn("path", path).withColumn("py", F.explode(F.sequence("y", F.col("y") + F.col("height") - 1))).withColumn("px", F.explode(F.sequence("x", F.col("x") + F.col("width") - 1)))
     px = t.pixel.select(F.col("image_id"), F.col("y").alias("py"), F.col("x").alias("px"), "v")

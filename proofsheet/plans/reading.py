@@ -83,7 +83,8 @@ def text_tokens(t: Relations) -> DataFrame:
 
 @query("doc_id long, pos long, han long, latin long, cyrillic long, greek long, other_letters long", f"WITH {_LINES} SELECT doc_id, pos, {_scripts('trim(text)')} FROM every")
 def script_counts(t: Relations) -> DataFrame:
-    return lines(t).select("doc_id", "pos", *[v.alias(k) for k, v in tx.script_counts(F.trim("text")).items()])
+    df = lines(t).withColumn("strange", tx.unfamiliar(F.trim("text")))
+    return df.select("doc_id", "pos", *[v.alias(k) for k, v in tx.script_counts(F.trim("text"), F.col("strange")).items()])
 
 
 @query("doc_id long, pos long, score_en long, score_de long, score_fr long, score_es long, language string, conflict boolean", f"WITH {_LINES}, a AS ({_analysed('every')}) SELECT * FROM a")
@@ -110,7 +111,10 @@ def _canon_sql(lang: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join(f"('{k}', '{tx.plain_word(w)}', '{w}')" for k, ws in tx.CANONICAL_WORDS.items() for w in ws)}) AS v(lang, plain, canon)"
 
 
-_PLAINED = f"translate({_FOLD.format('w')}, '{tx._WITH}', '{tx._PLAIN}')"
+_SPELLED = "lower(w)"
+for _c, _p in tx._MORE.items():
+    _SPELLED = f"replace({_SPELLED}, '{_c}', '{_p}')"
+_PLAINED = f"translate({_SPELLED}, '{tx._WITH}', '{tx._PLAIN}')"
 _SWAPS = f"""canon AS ({_canon_sql('')}),
     tok AS (SELECT DISTINCT doc_id, pos, coalesce(context, language) AS lang, unnest(regexp_extract_all(text, '\\p{{L}}+')) AS w FROM both_),
     swap AS (SELECT doc_id, pos, w AS token, CASE WHEN upper(w) = w AND lower(w) <> w THEN upper(canon) WHEN upper(w[1]) = w[1] THEN upper(canon[1]) || canon[2:] ELSE canon END AS canonical

@@ -96,18 +96,20 @@ def similarity_fit(t: Relations) -> DataFrame:
 # ---------------------------------------------------------------- decisions
 
 _RANKS = "CASE {0} WHEN 'none' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 WHEN 'critical' THEN 4 END"
-_REGION = f"""region AS (SELECT page_index, region_id, {visual._LEVEL.format('area_ratio')} AS level, area_ratio FROM diff_box WHERE region_id % 7 < 3),
+_REGION = f"""region AS (SELECT page_index, region_id, {visual._LEVEL.format('area_ratio')} AS level, area_ratio FROM (SELECT page_index, region_id, area_ratio / pow(10.0::DOUBLE, page_index % 7 + 2) AS area_ratio FROM diff_box) WHERE area_ratio >= 0.00001),
     page AS (SELECT p.page_index, max({_RANKS.format('level')}) AS worst, p.page_index / 250.0::DOUBLE AS rate, 1 - p.page_index / 40.0::DOUBLE AS local_ssim, 1 - p.page_index / 50.0::DOUBLE AS global_ssim, coalesce(sum(area_ratio), 0) / 100 AS box_rate
-      FROM (SELECT DISTINCT page_index FROM region_candidate) p LEFT JOIN region r ON r.page_index = p.page_index AND p.page_index % 6 <> 0 GROUP BY p.page_index),
+      FROM (SELECT DISTINCT page_index FROM region_candidate) p LEFT JOIN region r ON r.page_index = p.page_index GROUP BY p.page_index),
     severity AS (SELECT *, CASE WHEN worst IS NULL THEN 'none' ELSE ['none', 'low', 'medium', 'high', 'critical'][greatest(worst, CASE WHEN rate >= 0.05 OR local_ssim < 0.5 THEN 4 WHEN rate >= 0.02 OR local_ssim < 0.7 THEN 3 WHEN rate >= 0.005 OR local_ssim < 0.85 THEN 2 ELSE 1 END) + 1] END AS severity FROM page),
     scored AS (SELECT *, 100 * (0.3 * global_ssim + 0.3 * local_ssim + 0.25 * (1 - (0.7 * rate + 0.3 * least(1, box_rate))) + 0.15 * CASE severity WHEN 'none' THEN 1.0 WHEN 'low' THEN 0.9 WHEN 'medium' THEN 0.7 WHEN 'high' THEN 0.4 ELSE 0.0 END) AS score FROM severity)"""
 
 
 def scored_pages(t: Relations) -> DataFrame:
-    """Pages with their worst region, measures, severity and score; every sixth page has no region."""
+    """Pages with their worst region, measures, severity and score. Pages differ in size, so that the same boxes are a larger
+    or smaller part of them; boxes of less than a hundred-thousandth of a page are no differences."""
     from ..operators.pixels import area_severity
 
-    regions = t.diff_box.filter("region_id % 7 < 3 AND page_index % 6 != 0").withColumn("rank", de.rank(area_severity(F.col("area_ratio"))))
+    share = F.col("area_ratio") / F.pow(F.lit(10.0), F.col("page_index") % 7 + 2)
+    regions = t.diff_box.withColumn("area_ratio", share).filter("area_ratio >= 0.00001").withColumn("rank", de.rank(area_severity(F.col("area_ratio"))))
     worst = regions.groupBy("page_index").agg(F.max("rank").alias("worst"), (F.sum("area_ratio") / 100).alias("box_rate"))
     p = F.col("page_index")
     df = t.region_candidate.select("page_index").distinct().join(worst, "page_index", "left").na.fill(0, ["box_rate"])
@@ -126,18 +128,18 @@ def image_score(t: Relations) -> DataFrame:
     return scored_pages(t)
 
 
-_PARTS = f"""{_REGION}, {_MOVEMENT}, part AS (SELECT v.region_id, v.region_id % 60 AS sample_id, v.region_id % 20 AS page_index, status, CASE WHEN v.region_id % 60 < 20 THEN (v.region_id // 60) % 3 ELSE 0 END AS n_text,
-    CASE WHEN v.region_id % 60 BETWEEN 15 AND 30 THEN (v.region_id // 60) % 2 ELSE 0 END AS n_boxes, 1 - (v.region_id % 9) / 20.0::DOUBLE AS text_ratio FROM moved v WHERE v.region_id % 60 < 45 OR status = 'not_moved')"""
+_PARTS = f"""{_REGION}, {_MOVEMENT}, part AS (SELECT v.region_id, CASE WHEN status = 'not_moved' THEN v.region_id % 60 ELSE v.region_id % 45 END AS sample_id, v.region_id % 20 AS page_index, status, CASE WHEN v.region_id % 60 < 20 THEN (v.region_id // 60) % 3 ELSE 0 END AS n_text,
+    CASE WHEN v.region_id % 60 BETWEEN 15 AND 30 THEN (v.region_id // 60) % 2 ELSE 0 END AS n_boxes, 1 - (v.region_id % 9) / 20.0::DOUBLE AS text_ratio FROM moved v)"""
 
 
 def parts(t: Relations) -> DataFrame:
-    """Regions of samples with counts of text and picture differences and their movement."""
+    """Regions of samples with counts of text and picture differences and their movement; the last samples have no moved ones."""
     k = F.col("region_id")
     df = movements(t).select(
-        "region_id", (k % 60).alias("sample_id"), (k % 20).alias("page_index"), "status", F.when(k % 60 < 20, F.floor(k / 60) % 3).otherwise(0).alias("n_text"),
+        "region_id", F.when(F.col("status") == "not_moved", k % 60).otherwise(k % 45).alias("sample_id"), (k % 20).alias("page_index"), "status", F.when(k % 60 < 20, F.floor(k / 60) % 3).otherwise(0).alias("n_text"),
         F.when((k % 60).between(15, 30), F.floor(k / 60) % 2).otherwise(0).alias("n_boxes"), (1 - k % 9 / 20.0).alias("text_ratio"),
     )
-    return df.filter("sample_id < 45 OR status = 'not_moved'")
+    return df
 
 
 @query(
@@ -239,8 +241,8 @@ def config_identity_hash(t: Relations) -> DataFrame:
     """Hashes of the settings with and without the mode, and whether a run may go on beside that of the first setting."""
     df = configs(t).select("config_id", "mode", "blur_kernel", "difference_threshold")
     df = df.select("config_id", inputs.identity(["mode", "blur_kernel", "difference_threshold"]).alias("identity"), inputs.identity(["blur_kernel", "difference_threshold"]).alias("common_identity"))
-    first = df.filter("config_id = 1").select(F.col("common_identity").alias("expected"))
-    return df.join(F.broadcast(first)).withColumn("same", F.col("common_identity") == F.col("expected"))
+    first = df.filter("config_id = 1").agg(F.max("common_identity")).scalar()
+    return df.withColumn("same", F.col("common_identity") == first)
 
 
 @query(

@@ -59,7 +59,7 @@ def _components(name: str, source: str) -> str:
 
 
 def pair_images(t: Relations) -> DataFrame:
-    return images.gather(t.pixel_pair, "a", "b")
+    return images.gather(t.image_row, "a", "b")
 
 
 @query(
@@ -80,7 +80,7 @@ def gray_gaussian_blur(t: Relations) -> DataFrame:
         y, x = np.indices(v.shape)
         return {"y": y.ravel(), "x": x.ravel(), "blurred": np.floor(images.blur(v, images.gaussian(5)) + 0.5).ravel()}
 
-    return images.map_images(images.gather(t.pixel, "v"), kernel, "y long, x long, blurred double", "v")
+    return images.map_images(images.gather(t.image_row, "a"), kernel, "y long, x long, blurred double", "a")
 
 
 @query("image_id long, ssim double", f"{_SSIM} SELECT image_id, avg(v) AS ssim FROM ssim GROUP BY image_id")
@@ -135,14 +135,14 @@ def boxes_of(t: Relations) -> DataFrame:
     return df.withColumns({
         "region_type": F.when(F.col("area_ratio") < pixels.LARGE_AREA, "small").otherwise("large"),
         "severity": pixels.area_severity(F.col("area_ratio")),
-        "number": F.row_number().over(Window.partitionBy("image_id").orderBy("y", "x")),
+        "number": F.row_number().over(Window.partitionBy("image_id").orderBy("y", "x", "width", "height")),
     })
 
 
 @query(
     "image_id long, x long, y long, width long, height long, area long, area_ratio double, region_type string, severity string, number long",
     f"""{_BOXES} SELECT *, area / 4096 AS area_ratio, CASE WHEN area / 4096 < 0.01 THEN 'small' ELSE 'large' END AS region_type, {_LEVEL.format('(area / 4096)')} AS severity,
-        row_number() OVER (PARTITION BY image_id ORDER BY y, x) AS number FROM counted WHERE area >= 30""",
+        row_number() OVER (PARTITION BY image_id ORDER BY y, x, width, height) AS number FROM counted WHERE area >= 30""",
 )
 def difference_boxes(t: Relations) -> DataFrame:
     return boxes_of(t)
@@ -180,27 +180,27 @@ def adaptive_threshold(t: Relations) -> DataFrame:
         dark, light = images.adaptive_foreground(v)
         return {"dark": [dark.sum()], "light": [light.sum()]}
 
-    return images.map_images(images.gather(t.pixel, "v"), kernel, "dark long, light long", "v")
+    return images.map_images(images.gather(t.image_row, "a"), kernel, "dark long, light long", "a")
 
 
 @query(
     "image_id long, y long, x long, score double",
     """WITH tpl AS (SELECT image_id, y - 20 AS ty, x - 24 AS tx, v - avg(v) OVER (PARTITION BY image_id) AS tv FROM pixel WHERE y >= 20 AND y < 28 AND x >= 24 AND x < 32),
-    place AS (SELECT image_id, y, x FROM pixel WHERE y <= 56 AND x <= 56 AND y % 4 = 0 AND x % 4 = 0),
+    place AS (SELECT image_id, y, x FROM pixel WHERE y <= 56 AND x <= 56),
     s AS (SELECT p.image_id, p.y, p.x, sum(t.tv * q.v) AS top, sum(q.v * q.v) - 64 * avg(q.v) * avg(q.v) AS spread, sum(t.tv * t.tv) AS own FROM place p JOIN tpl t ON t.image_id = p.image_id
       JOIN pixel q ON q.image_id = p.image_id AND q.y = p.y + t.ty AND q.x = p.x + t.tx GROUP BY ALL)
     SELECT image_id, y, x, CASE WHEN spread * own > 1e-18 THEN top / sqrt(spread * own) ELSE 0 END AS score FROM s""",
 )
 def template_ncc(t: Relations) -> DataFrame:
-    """Correlation of a patch of each image with every fourth place of it."""
+    """Correlation of a patch of each image with every place of it."""
     import numpy as np
 
     def kernel(v):
-        s = images.match_scores(v, v[20:28, 24:32])[::4, ::4]
+        s = images.match_scores(v, v[20:28, 24:32])
         y, x = np.indices(s.shape)
-        return {"y": y.ravel() * 4, "x": x.ravel() * 4, "score": s.ravel()}
+        return {"y": y.ravel(), "x": x.ravel(), "score": s.ravel()}
 
-    return images.map_images(images.gather(t.pixel, "v"), kernel, "y long, x long, score double", "v")
+    return images.map_images(images.gather(t.image_row, "a"), kernel, "y long, x long, score double", "a")
 
 
 @query("image_id long, edge_pixels long, edge_share double")
@@ -211,7 +211,7 @@ def edge_share(t: Relations) -> DataFrame:
         e = images.edges(v)
         return {"edge_pixels": [e.sum()], "edge_share": [e.mean()]}
 
-    return images.map_images(images.gather(t.pixel, "v"), kernel, "edge_pixels long, edge_share double", "v")
+    return images.map_images(images.gather(t.image_row, "a"), kernel, "edge_pixels long, edge_share double", "a")
 
 
 @query(

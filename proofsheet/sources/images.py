@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,18 +29,25 @@ def gray(blue: Column, green: Column, red: Column) -> Column:
     return F.floor(0.299 * red + 0.587 * green + 0.114 * blue + 0.5).cast("long")
 
 
-def pixels_of(images: DataFrame) -> DataFrame:
-    """origin, y, x, v: grey levels; one-channel pictures as they are, an alpha channel is left out."""
-    n = F.col("height") * F.col("width")
+def gray_rows(images: DataFrame) -> DataFrame:
+    """origin, y, v: grey levels of one row of a picture as an array, in one Arrow pass; one-channel pictures as they are, an
+    alpha channel is left out."""
+
+    def run(frames):
+        for f in frames:
+            for r in f.itertuples(index=False):
+                v = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels).astype(float)
+                v = v[..., 0] if r.channels == 1 else np.floor(0.299 * v[..., 2] + 0.587 * v[..., 1] + 0.114 * v[..., 0] + 0.5)
+                yield pd.DataFrame({"origin": r.origin, "y": range(r.height), "v": list(v.astype(np.int32))})
+
     good = images.filter(F.col("error").isNull() & F.col("channels").isin(1, 3, 4))
-    df = good.select("origin", "width", "channels", "data", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
+    return good.select("origin", "height", "width", "channels", "data").mapInPandas(run, "origin string, y long, v array<int>")
 
-    def level(c: int) -> Column:
-        one = F.substring(F.col("data"), F.col("k") * F.col("channels") + c + 1, F.lit(1))
-        return F.conv(F.hex(one), 16, 10).cast("long")
 
-    v = F.when(F.col("channels") == 1, level(0)).otherwise(gray(level(0), level(1), level(2)))
-    return df.select("origin", F.floor(F.col("k") / F.col("width")).alias("y"), (F.col("k") % F.col("width")).cast("long").alias("x"), v.alias("v"))
+def pixels_of(images: DataFrame) -> DataFrame:
+    """origin, y, x, v: grey levels, one row a pixel."""
+    df = gray_rows(images).select("origin", "y", F.posexplode("v").alias("x", "v"))
+    return df.select("origin", "y", F.col("x").cast("long").alias("x"), F.col("v").cast("long").alias("v"))
 
 
 def encode_png(samples: np.ndarray) -> bytes:

@@ -22,9 +22,9 @@ _PAIR_VARIANTS = (
 )
 
 SQL = {
-    "pixel": f"""SELECT image_id, y, x, v FROM (SELECT vec_id // {SIDE} AS image_id, vec_id % {SIDE} AS y, unnest(range(len(embedding))) AS x,
-        unnest(list_transform(embedding, lambda e: least(255, greatest(0, CAST(floor((CAST(e AS DOUBLE) + 0.6) * 212.5) AS BIGINT))))) AS v FROM embeddings)
-        WHERE image_id < (SELECT count(*) // {SIDE} FROM embeddings)""",
+    "pixel": f"""SELECT vec_id // {SIDE} AS image_id, vec_id % {SIDE} AS y, unnest(range(len(embedding))) AS x,
+        unnest(list_transform(embedding, lambda e: least(255, greatest(0, CAST(floor((CAST(e AS DOUBLE) + 0.6) * 212.5) AS BIGINT))))) AS v FROM embeddings
+        UNION ALL SELECT image_id, y, unnest(range({SIDE})) AS x, 255 AS v FROM (SELECT m // {SIDE} AS image_id, unnest(range(m % {SIDE} + 1, {SIDE})) AS y FROM (SELECT max(vec_id) AS m FROM embeddings))""",
     "pixel_pair": """SELECT image_id, y, x, v AS a, CASE WHEN image_id % 5 > 0 AND y BETWEEN 3 AND 3 + 6 * (image_id % 5) AND x BETWEEN 10 AND 9 + 10 * (image_id % 5)
         AND (y + x) % 29 < 24 THEN (v + 128) % 256 ELSE v END AS b FROM pixel""",
     "ocr_line": """SELECT doc_id, pos, text, (doc_id * 37 + pos * 53) % 400 AS x1, pos * 24 AS y1, (doc_id * 37 + pos * 53) % 400 + 8 * least(length(line), 120) AS x2,
@@ -43,11 +43,17 @@ SQL = {
         (SELECT conv_id, turn, text, CASE WHEN (conv_id + turn) % 8 < {len(_PAIR_VARIANTS)} THEN text ELSE lag(text) OVER (PARTITION BY conv_id ORDER BY turn) END AS source FROM conversations) WHERE source IS NOT NULL""",
     "run_log": "SELECT event_id, user_id AS run_id, event_type AS stage, value AS elapsed_s, ts FROM events",
     "diff_box": """SELECT region_id, page_index, x, y, width, height, width * height % 97 AS area, (width * height % 97) / (1 + region_id % 5 * 4000.0::DOUBLE) AS area_ratio FROM region_candidate""",
-    "feature_box": f"""SELECT p_partkey AS region_id, p_partkey % (SELECT count(*) // {SIDE} FROM embeddings) AS image_id, (p_partkey * 37) % 56 AS x, (p_partkey * 91 + p_size) % 56 AS y,
+    "feature_box": f"""SELECT p_partkey AS region_id, p_partkey % (SELECT max(vec_id) // {SIDE} + 1 FROM embeddings) AS image_id, (p_partkey * 37) % 56 AS x, (p_partkey * 91 + p_size) % 56 AS y,
         least(2 + (p_size * 7 + p_partkey) % 24, {SIDE} - (p_partkey * 37) % 56) AS width, least(2 + (p_size + p_partkey) % 9, {SIDE} - (p_partkey * 91 + p_size) % 56) AS height FROM part""",
 }
 
 
+def _striped(x):
+    """Whether a sample of the second image differs, by its column and the row's image_id and y."""
+    k = F.col("image_id") % 5
+    return (k > 0) & F.col("y").between(F.lit(3), 3 + 6 * k) & x.between(F.lit(10), 9 + 10 * k) & ((F.col("y") + x) % 29 < 24)
+
+
 class Relations:
     """Lazy DataFrames of the tables (by name) and of the derived relations."""
 
@@ -58,22 +64,27 @@ class Relations:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     @cached_property
-    def n_images(self) -> int:
-        return self.table("embeddings").count() // SIDE
+    def image_row(self) -> DataFrame:
+        """image_id, y, a, b: the samples of one row of an image pair as arrays. Each vector is a row; the last image is filled
+        up with white rows. b is a with stripes of a rectangle changed, whose size depends on the image."""
+        vectors = self.table("embeddings")
+        level = lambda e: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((e.cast("double") + 0.6) * 212.5))).cast("int")
+        rows = vectors.select(F.floor(F.col("vec_id") / SIDE).alias("image_id"), (F.col("vec_id") % SIDE).alias("y"), F.transform("embedding", level).alias("a"))
+        last = vectors.agg(F.max("vec_id").alias("m")).filter(F.col("m") % SIDE < SIDE - 1)
+        blank = last.select(F.floor(F.col("m") / SIDE).alias("image_id"), F.explode(F.sequence(F.col("m") % SIDE + 1, F.lit(SIDE - 1).cast("long"))).alias("y"), F.array_repeat(F.lit(255), SIDE).alias("a"))
+        return rows.unionByName(blank).withColumn("b", F.transform("a", lambda v, x: F.when(_striped(x), (v + 128) % 256).otherwise(v)))
 
     @cached_property
     def pixel(self) -> DataFrame:
-        """image_id, y, x, v: one row a pixel of the full images."""
-        level = F.least(F.lit(255), F.greatest(F.lit(0), F.floor((F.col("e").cast("double") + 0.6) * 212.5)))
-        df = self.table("embeddings").select(F.floor(F.col("vec_id") / SIDE).alias("image_id"), (F.col("vec_id") % SIDE).alias("y"), F.posexplode("embedding").alias("x", "e"))
-        return df.filter(F.col("image_id") < self.n_images).select("image_id", "y", F.col("x").cast("long").alias("x"), level.cast("long").alias("v"))
+        """image_id, y, x, v: one row a pixel."""
+        df = self.image_row.select("image_id", "y", F.posexplode("a").alias("x", "v"))
+        return df.select("image_id", "y", *[F.col(c).cast("long").alias(c) for c in ("x", "v")])
 
     @cached_property
     def pixel_pair(self) -> DataFrame:
-        """image_id, y, x, a, b: b is a with stripes of a rectangle changed, whose size depends on the image."""
-        k = F.col("image_id") % 5
-        inside = (k > 0) & F.col("y").between(F.lit(3), 3 + 6 * k) & F.col("x").between(F.lit(10), 9 + 10 * k) & ((F.col("y") + F.col("x")) % 29 < 24)
-        return self.pixel.select("image_id", "y", "x", F.col("v").alias("a"), F.when(inside, (F.col("v") + 128) % 256).otherwise(F.col("v")).alias("b"))
+        """image_id, y, x, a, b: one row a pixel of both images."""
+        df = self.pixel.withColumnRenamed("v", "a")
+        return df.withColumn("b", F.when(_striped(F.col("x")), (F.col("a") + 128) % 256).otherwise(F.col("a")))
 
     @cached_property
     def ocr_line(self) -> DataFrame:
@@ -145,4 +156,5 @@ class Relations:
         """Boxes inside the test images."""
         k, s = F.col("p_partkey"), F.col("p_size").cast("long")
         x, y = k * 37 % 56, (k * 91 + s) % 56
-        return self.table("part").select(k.alias("region_id"), (k % self.n_images).alias("image_id"), x.alias("x"), y.alias("y"), F.least(2 + (s * 7 + k) % 24, SIDE - x).alias("width"), F.least(2 + (s + k) % 9, SIDE - y).alias("height"))
+        n_images = self.table("embeddings").agg(F.floor(F.max("vec_id") / SIDE) + 1).scalar()
+        return self.table("part").select(k.alias("region_id"), (k % n_images).alias("image_id"), x.alias("x"), y.alias("y"), F.least(2 + (s * 7 + k) % 24, SIDE - x).alias("width"), F.least(2 + (s + k) % 9, SIDE - y).alias("height"))
