@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,20 +15,34 @@ CONTROL_SPACES = "\t\n\x0b\f\r"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (local tests) a
-    temporary folder is made and remembered in the session's settings.
+    The cluster names it in ``spark.checkpoint.dir``; where that is unset, one is made beside the warehouse, which all
+    executors share too.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("proofsheet.shared.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="proofsheet-")
-        spark.conf.set("proofsheet.shared.dir", found)
-    return found.rstrip("/")
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
+    return re.sub("^file:/(?!/)", "file:///", found.rstrip("/"))
+
+
+#: Intermediate tables of this process that still lie in the shared folder.
+_paths: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _paths:
+        _paths.remove(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables that this process has written; results that are not written yet need them."""
+    for path in list(_paths):
+        remove(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import skew_join, written
+from .common import new_path, remove, skew_join
 
 MAX_ROUNDS = 60
 
@@ -19,7 +19,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = F.col("a"), F.col("b")
     edges = edges.filter(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
-    edges, before = written(edges, "edges"), None
+    spark, schema, before = edges.sparkSession, edges.schema, None
+
+    def kept(df: DataFrame) -> tuple[DataFrame, str]:
+        path = new_path(spark, "edges")
+        df.write.parquet(path)
+        return spark.read.schema(schema).parquet(path), path
+
+    edges, path = kept(edges)
     for _ in range(MAX_ROUNDS):
         mark = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0)).alias("h")).first()
         mark = (mark["n"], int(mark["h"]))
@@ -32,5 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = skew_join(large, least, ["a"], "n")
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(b.alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = written(small.filter(a != b).distinct(), "edges")
+        last = path
+        edges, path = kept(small.filter(a != b).distinct())
+        remove(spark, last)  # the new round does not need it any more
     raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")

@@ -6,12 +6,14 @@ a child cannot supply goes to its siblings, and only what all siblings lack reac
 its documents and then a token-prefix of one more epoch in seeded order.
 
 Tokens of a document: a quarter of its UTF-8 bytes, rounded up, at least one. Only DataFrame functions run.
-A leaf's prefix is found by two levels of sums (hash bucket, then rows of the one bucket that the budget ends
-in), so a leaf with any share of all rows is never ordered in one task.
+A row's place in the seeded order is a hash of id and text. A leaf's prefix is found by descending through the digits of
+that hash: sums of at most 256 buckets a leaf, then of the buckets inside the one that the budget ends in; only the rows of
+the last such bucket, one in 65,536, are ordered, so a leaf with any share of all rows is never ordered in one task.
 
 Defined cases: null domain, language or source is ``unknown``; a null or empty text has one token; null ids
-and repeated rows are ordered by id then text hash, equal rows are taken or left by their place in that order;
-an empty table gives no rows; the document that crosses the budget is still taken.
+and repeated rows are ordered by id then text hash, equal rows are taken or left by their place in that order; a very long
+text counts by its bytes like any other; an empty table gives no rows; the document that crosses the budget is still taken.
+mixed's own m_* columns replace any of these names; stage wraps its rows and so keeps them.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ LEVELS = ("m_domain", "m_lang", "m_source")
 #: A leaf table up to this many rows is broadcast; a longer one is joined on salted keys.
 BROADCAST_LEAVES = 50_000
 SALTS = 16
+#: Hexadecimal digits of a row's place that are looked at in each step.
+DIGITS = (2, 4)
 
 
 @dataclass(frozen=True)
@@ -75,11 +79,11 @@ def split_budget(nodes: DataFrame, parent: list[str], name: str, mix: Mix) -> Da
     return df.withColumn("share", share.cast("long")).drop("w", "level", "full", "top")
 
 
-def budgets(docs: DataFrame, mix: Mix) -> DataFrame:
+def budgets(docs: DataFrame, mix: Mix, leaf_table=lambda df, name: df) -> DataFrame:
     """One row per leaf: the levels, m_have (tokens it holds), m_budget, m_full epochs and m_rest tokens."""
-    leaves = docs.groupBy(*LEVELS).agg(F.sum("m_tokens").alias("m_have"))
+    leaves = leaf_table(docs.groupBy(*LEVELS).agg(F.sum("m_tokens").alias("m_have")), "mix-sums")
+    total = F.lit((leaves.agg(F.sum("m_have")).first()[0] or 0) * mix.budget_permille // 1000).cast("long")
     leaves = leaves.withColumn("cap", F.col("m_have") * mix.max_epochs)
-    total = F.floor(F.sum("m_have").over(Window.partitionBy()) * F.lit(mix.budget_permille) / 1000).cast("long")
     given = leaves.groupBy("m_domain").agg(F.sum("cap").alias("cap"), F.sum("m_have").alias("m_have")).withColumn("given", total)
     given = split_budget(given, [], "m_domain", mix).select("m_domain", F.col("share").alias("given"))
     langs = leaves.groupBy("m_domain", "m_lang").agg(F.sum("cap").alias("cap")).join(given, "m_domain")
@@ -103,16 +107,21 @@ def mixed(docs: DataFrame, mix: Mix, leaf_table) -> DataFrame:
     leaf_table: writes a small DataFrame to shared storage and reads it again.
     """
     docs = tree_columns(docs)
-    leaves = leaf_table(budgets(docs, mix), "mix-leaves")
+    leaves = leaf_table(budgets(docs, mix, leaf_table), "mix-leaves")
     small = leaves.count() <= BROADCAST_LEAVES
-    place = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("m_full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    placed = lambda table: _with_leaves(docs, table, small).withColumn("m_place", place).withColumn("m_bucket", F.substring("m_place", 1, 3))
-    sums = placed(leaves).groupBy(*LEVELS, "m_bucket").agg(F.sum("m_tokens").alias("n"), F.first("m_rest").alias("m_rest"))
-    upto = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("m_bucket").rowsBetween(Window.unboundedPreceding, 0))
-    sums = sums.withColumn("upto", upto).filter((F.col("upto") - F.col("n") < F.col("m_rest")) & (F.col("upto") >= F.col("m_rest")))
-    ends = sums.select(*LEVELS, F.col("m_bucket").alias("m_end"), (F.col("m_rest") - (F.col("upto") - F.col("n"))).alias("m_left"))
-    leaves = leaf_table(leaves.join(ends, list(LEVELS), "left"), "mix-ends")
-    rows = placed(leaves)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    hashed = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), text("m_full"), text("doc_id"), F.md5(text("text").cast("binary"))).cast("binary"))
+    digits = lambda n: F.substring("m_place", 1, n)
+    placed = lambda table: _with_leaves(docs, table, small).withColumn("m_place", hashed)
+    leaves = leaves.withColumns({"m_end": F.lit(""), "m_left": F.col("m_rest")})
+    for n in DIGITS:
+        inside = placed(leaves).filter(F.col("m_place").startswith(F.col("m_end")))
+        sums = inside.groupBy(*LEVELS, digits(n).alias("m_bucket")).agg(F.sum("m_tokens").alias("n"), F.first("m_left").alias("m_left"))
+        upto = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("m_bucket").rowsBetween(Window.unboundedPreceding, 0))
+        sums = sums.withColumn("upto", upto).filter((F.col("upto") - F.col("n") < F.col("m_left")) & (F.col("upto") >= F.col("m_left")))
+        ends = sums.select(*LEVELS, F.col("m_bucket").alias("m_end"), (F.col("m_left") - (F.col("upto") - F.col("n"))).alias("m_left"))
+        leaves = leaf_table(leaves.drop("m_end", "m_left").join(ends, list(LEVELS), "left"), "mix-ends")
+    rows = placed(leaves).withColumn("m_bucket", digits(DIGITS[-1]))
     # A rest of 0 has no end bucket: no document of the last epoch is taken.
     inner = rows.filter(F.coalesce(F.col("m_bucket") != F.col("m_end"), F.lit(True))).withColumn("m_more", F.coalesce((F.col("m_bucket") < F.col("m_end")).cast("long"), F.lit(0)))
     edge = rows.filter(F.col("m_bucket") == F.col("m_end"))
@@ -152,14 +161,14 @@ def oracle(mix: Mix) -> str:
 WITH d AS (SELECT doc_id, text, CASE WHEN source IS NULL THEN 'unknown' WHEN regexp_matches(source, '[02468]$') THEN 'web' ELSE 'curated' END AS domain,
   coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source, CAST(greatest(1, ceil(coalesce(strlen(text), 0) / 4.0)) AS BIGINT) AS tokens FROM documents),
 leaf AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS have, CAST(sum(tokens) * {mix.max_epochs} AS BIGINT) AS cap FROM d GROUP BY ALL),
-n1 AS (SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, (SELECT CAST(floor(sum(have) * {mix.budget_permille} / 1000) AS BIGINT) FROM leaf) AS given FROM leaf GROUP BY domain),
+n1 AS (SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, (SELECT CAST(sum(have) * {mix.budget_permille} // 1000 AS BIGINT) FROM leaf) AS given FROM leaf GROUP BY domain),
 s1 AS ({_share_sql('n1', '', 'domain', mix.domain)}),
 n2 AS (SELECT l.domain, lang, CAST(sum(l.cap) AS BIGINT) AS cap, any_value(share) AS given FROM leaf l JOIN s1 USING (domain) GROUP BY l.domain, lang),
 s2 AS ({_share_sql('n2', 'domain', 'lang', mix.lang)}),
 n3 AS (SELECT l.domain, l.lang, source, have, l.cap, share AS given FROM leaf l JOIN s2 USING (domain, lang)),
 s3 AS ({_share_sql('n3', 'domain, lang', 'source', mix.source)}),
 b AS (SELECT domain, lang, source, share, share // have AS full_epochs, share - (share // have) * have AS rest FROM s3),
-p AS (SELECT doc_id, text, tokens, b.*, md5('{mix.seed}:' || full_epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM d JOIN b USING (domain, lang, source)),
+p AS (SELECT doc_id, text, tokens, b.*, md5('{mix.seed}:' || full_epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS place FROM d JOIN b USING (domain, lang, source)),
 q AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id NULLS FIRST, md5(coalesce(text, ''))
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
 SELECT doc_id, domain, lang, source, tokens, share AS leaf_budget, CAST(full_epochs + CASE WHEN before < rest THEN 1 ELSE 0 END AS BIGINT) AS copies

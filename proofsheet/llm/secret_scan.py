@@ -108,12 +108,9 @@ def stretches(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int
             at = max(at, e)
 
 
-def dense(run: str, vocabulary: str = VOCABULARY) -> Iterator[tuple[int, int]]:
-    """Parts of a run that look random: those that meet windows of at least MIN_RUN characters in many tokens.
-
-    The windows slide over the tokens of the whole run. A window that meets a part between separators takes all of it and
-    its neighbours that are no words or numbers, as a key must not stay in pieces; words at both ends go again, and paths of mostly words and short numbers go whole.
-    """
+def in_many_tokens(run: str, vocabulary: str = VOCABULARY) -> np.ndarray:
+    """Which characters are in a window of whole tokens, the shortest of MIN_RUN characters or more from its first token on,
+    that has few characters per token."""
     enc = encoding(vocabulary)
     ends = np.cumsum([len(enc.decode_single_token_bytes(t)) for i in range(0, len(run), PART) for t in enc.encode_ordinary(run[i : i + PART])])
     starts = np.concatenate(([0], ends[:-1]))
@@ -124,7 +121,16 @@ def dense(run: str, vocabulary: str = VOCABULARY) -> Iterator[tuple[int, int]]:
     inside = np.zeros(len(run) + 1, np.int64)
     np.add.at(inside, starts[first[good]], 1)
     np.add.at(inside, ends[last[good]], -1)
-    inside = np.cumsum(inside[:-1]) > 0
+    return np.cumsum(inside[:-1]) > 0
+
+
+def dense(run: str, vocabulary: str = VOCABULARY) -> Iterator[tuple[int, int]]:
+    """Parts of a run that look random: those that meet windows of at least MIN_RUN characters in many tokens.
+
+    The windows slide over the tokens of the whole run. A window that meets a part between separators takes all of it and
+    its neighbours that are no words or numbers, as a key must not stay in pieces; words at both ends go again, and paths of mostly words and short numbers go whole.
+    """
+    inside = in_many_tokens(run, vocabulary)
     parts = [m.span() for m in SUB_RUN.finditer(run)]
     hit = [bool(inside[a:b].any()) for a, b in parts]
     more = lambda i: hit[i] or not (NUMBER.fullmatch(run[slice(*parts[i])]) or word_like(run[slice(*parts[i])], vocabulary))

@@ -5,7 +5,8 @@ list up to the bound in ``bloom.py``, so it can be broadcast; a list beyond that
 it lets pass as possible hits meet the list in an exact join by hash, which removes false positives; the others skip the
 join. Spark picks the join: a large list is sorted and may spill.
 
-Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule and is never
+Defined cases: an empty table gives no rows; a very long url is judged like others; u_* and b_* columns of the input are
+replaced by those made here; a null url or one without ``://`` has an empty host and path, fits no rule and is never
 listed, so it is allowed; repeated rows give one result each; an empty list blocks nothing.
 """
 
