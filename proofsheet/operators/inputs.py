@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Accepted formats and the settings with their defaults and ranges.
@@ -24,8 +24,14 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1))
 
 
-def input_error(path: Column, page: Column, selection: list[Column], width: Column, height: Column, pages: Column) -> Column:
-    """First rule that an input breaks, or null. A null selection means the whole page."""
+def input_error(path: Column, page: Column, selection: list[Column], width: Column, height: Column, pages: Column, selected: Column | None = None) -> Column:
+    """First rule that an input breaks, or null. A null selection means the whole page, a null page the first one.
+
+    selected: whether this is the side that the comparison starts from; of a document with pages it must name its page and
+    its selection.
+    """
+    asked = F.lit(False) if selected is None else selected & (page.isNull() | selection[0].isNull())
+    page = F.coalesce(page, F.lit(0))
     x1, y1, x2, y2 = selection
     finite = F.lit(True)
     for c in selection:
@@ -35,7 +41,7 @@ def input_error(path: Column, page: Column, selection: list[Column], width: Colu
     return (
         F.when(path.isNull() | (F.trim(path) == ""), "empty_path").when(page < 0, "negative_page")
         .when(given & (~finite | (x1 < 0) | (y1 < 0) | (x2 <= x1) | (y2 <= y1)), "bad_selection")
-        .when(~suffix(path).isin(*SUFFIXES), "unsupported_format").when(~pdf & (page != 0), "image_page").when(pdf & (page >= pages), "page_outside")
+        .when(~suffix(path).isin(*SUFFIXES), "unsupported_format").when(pdf & asked, "selection_required").when(~pdf & (page != 0), "image_page").when(pdf & (page >= pages), "page_outside")
         .when(~pdf & (width.cast("long") * height > MAX_PIXELS), "over_budget")
         .when(given & ((x2 > width + EDGE) | (y2 > height + EDGE)), "selection_outside")
     )
@@ -57,6 +63,20 @@ def config_errors() -> Column:
     return F.concat_ws(",", *[F.when(F.coalesce(bad, F.lit(True)), name) for bad, name in checks])
 
 
+def environment(spark: SparkSession) -> DataFrame:
+    """name, value: versions of what a run depends on."""
+    import platform
+    from importlib import metadata
+
+    found = {"python": platform.python_version(), "platform": platform.platform(), "spark": spark.version, "java": spark._jvm.System.getProperty("java.version")}
+    for package in ("pyspark", "pyarrow", "pandas", "numpy"):
+        try:
+            found[package] = metadata.version(package)
+        except metadata.PackageNotFoundError:
+            found[package] = None
+    return spark.createDataFrame(list(found.items()), "name string, value string")
+
+
 def identity(columns: list[str]) -> Column:
     """sha256 of the columns as compact JSON with sorted names."""
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)

@@ -40,21 +40,22 @@ def ocr_records(t: Relations) -> DataFrame:
     return recognition.records(results(t))
 
 
-#: Boxes as typed by a user.
-TYPED = ("1,2,30,40", " 5 , 6 , 7 , 8 ", "1.5,2.5,3.5,4.5", "1,2,3", "a,b,c,d", "1,2,0,5", "-3,4,10,10", "1,2,3,4,5")
+#: Boxes as typed by a user, good and bad ones, from the values of a part.
+_TYPED = """CASE p_partkey % 9 WHEN 0 THEN concat(p_size, ',', p_partkey % 50, ',', 1 + p_size, ',40') WHEN 1 THEN concat(' ', p_size, ' , 6 ,', p_partkey % 70, ' , 8 ') WHEN 2 THEN concat(p_size, '.5,2.5,', p_size, '.5,4.5')
+    WHEN 3 THEN concat(p_size, ',2,3') WHEN 4 THEN concat('a,b,', p_size, ',d') WHEN 5 THEN concat('1,2,0,', p_size) WHEN 6 THEN concat('-', p_size, ',4,10,10') WHEN 7 THEN concat(p_size, ',2,3,4,5') ELSE p_name END"""
 
 
 @query(
-    "id long, valid boolean, x long, y long, width long, height long",
-    f"""WITH v(id, s) AS (VALUES {', '.join(f"({i}, '{s}')" for i, s in enumerate(TYPED))}), n AS (SELECT id, list_transform(string_split(s, ','), lambda p: round_even(TRY_CAST(trim(p) AS DOUBLE), 0)) AS b FROM v),
+    "region_id long, valid boolean, x long, y long, width long, height long",
+    f"""WITH v AS (SELECT p_partkey AS region_id, {_TYPED} AS s FROM part), n AS (SELECT region_id, list_transform(string_split(s, ','), lambda p: round_even(TRY_CAST(trim(p) AS DOUBLE), 0)) AS b FROM v),
     g AS (SELECT *, coalesce(len(b) = 4 AND len(list_filter(b, lambda q: q IS NULL)) = 0 AND b[3] > 0 AND b[4] > 0, false) AS valid FROM n)
-    SELECT id, valid, CASE WHEN valid THEN b[1] END AS x, CASE WHEN valid THEN b[2] END AS y, CASE WHEN valid THEN b[3] END AS width, CASE WHEN valid THEN b[4] END AS height FROM g""",
+    SELECT region_id, valid, CASE WHEN valid THEN b[1] END AS x, CASE WHEN valid THEN b[2] END AS y, CASE WHEN valid THEN b[3] END AS width, CASE WHEN valid THEN b[4] END AS height FROM g""",
 )
 def typed_regions(t: Relations) -> DataFrame:
-    df = t.spark.createDataFrame(list(enumerate(TYPED)), "id long, s string")
+    df = t.table("part").select(F.col("p_partkey").alias("region_id"), F.expr(_TYPED).alias("s"))
     box, valid = recognition.region_of(F.col("s"))
     df = df.withColumn("valid", valid)
-    return df.select("id", "valid", *[F.when(F.col("valid"), b).alias(c) for b, c in zip(box, ("x", "y", "width", "height"), strict=True)])
+    return df.select("region_id", "valid", *[F.when(F.col("valid"), b).alias(c) for b, c in zip(box, ("x", "y", "width", "height"), strict=True)])
 
 
 @query(

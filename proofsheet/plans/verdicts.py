@@ -93,6 +93,20 @@ def similarity_fit(t: Relations) -> DataFrame:
     return al.fitted(pairs, ["image_pair"])
 
 
+@query(
+    "region_id long, x double, y double, rotation_degrees double, scale double, matched_features long, inlier_features long, inlier_ratio double, success boolean, reason string",
+    """SELECT region_id, CASE WHEN ok THEN x ELSE 0 END AS x, CASE WHEN ok THEN y ELSE 0 END AS y, CASE WHEN ok THEN rotation_degrees ELSE 0 END AS rotation_degrees, CASE WHEN ok THEN scale ELSE 1 END AS scale, m AS matched_features, i AS inlier_features,
+        CASE WHEN m > 0 THEN round(i / m::DOUBLE, 4) ELSE 0 END AS inlier_ratio, ok AS success, CASE WHEN ok THEN '' ELSE 'rejected' END AS reason FROM (SELECT *, region_id % 40 AS m, region_id % 40 * 3 // 7 AS i, success AS ok FROM alignment)""",
+)
+def alignment_record(t: Relations) -> DataFrame:
+    """The record of each alignment; one that failed moves nothing and keeps its counts."""
+    m = F.col("region_id") % 40
+    i = F.floor(m * 3 / 7)
+    failed = al.identity_result(F.lit("rejected"), m, i)
+    found = {**{c: F.col(c) for c in ("x", "y", "rotation_degrees", "scale")}, "matched_features": m, "inlier_features": i, "inlier_ratio": failed["inlier_ratio"], "success": F.lit(True), "reason": F.lit("")}
+    return t.alignment.select("region_id", *[F.when(F.col("success"), found[c]).otherwise(v).alias(c) for c, v in failed.items()])
+
+
 # ---------------------------------------------------------------- decisions
 
 _RANKS = "CASE {0} WHEN 'none' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 WHEN 'critical' THEN 4 END"
@@ -192,24 +206,37 @@ def detection_counts(t: Relations) -> DataFrame:
 
 # ---------------------------------------------------------------- provenance
 
-#: path, page, selection, width, height, pages
-SPECS = (
-    ("a.pdf", 0, None, 100, 100, 3), ("b.PNG", 0, (0.0, 0.0, 50.0, 50.0), 100, 100, 1), ("", 0, None, 10, 10, 1), ("c.txt", 0, None, 10, 10, 1), ("d.png", -1, None, 10, 10, 1), ("e.png", 1, None, 10, 10, 1), ("f.pdf", 3, None, 10, 10, 3),
-    ("g.png", 0, (5.0, 0.0, 5.0, 9.0), 10, 10, 1), ("h.png", 0, (0.0, 0.0, 11.0, 9.0), 10, 10, 1), ("i.png", 0, None, 5000, 4001, 1), ("j.tiff", 0, (0.0, 0.0, 10.0000001, 9.0), 10, 10, 1), ("k.webp", 0, (-1.0, 0.0, 5.0, 5.0), 10, 10, 1), ("l.jpeg", 0, None, 5000, 4000, 1),
-)
+#: Inputs of all kinds from the values of an order: path, page, selection, size, pages, and whether the side is the selected one.
+_SPECS = {
+    "path": "CASE o_orderkey % 12 WHEN 0 THEN '' WHEN 1 THEN concat('c', o_orderkey, '.txt') WHEN 2 THEN concat('d', o_orderkey, '.PDF') WHEN 3 THEN '  ' WHEN 4 THEN concat('e', o_orderkey, '.webp') WHEN 5 THEN concat('f.', o_orderkey, '.tiff') WHEN 6 THEN 'noformat' WHEN 7 THEN concat('g', o_orderkey, '.JPEG') ELSE concat('h', o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '.png' ELSE '.pdf' END) END",
+    "page": "CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE CAST(floor(o_orderkey / 12) AS BIGINT) % 5 - 1 END",
+    "width": "CASE WHEN o_custkey % 13 = 0 THEN 5000 ELSE 10 + o_custkey % 90 END", "height": "CASE WHEN o_orderkey % 5 = 0 THEN 4001 ELSE 4000 END", "pages": "1 + o_custkey % 4", "selected": "o_orderkey % 2 = 0",
+}
+_CORNERS = {"x1": ("0.0", "5.0", "0.0", "-1.0", "0.0"), "y1": ("0.0", "0.0", "0.0", "0.0", "0.0"), "x2": ("5.0", "5.0", "width + 1.0", "5.0", "width + 0.0000001"), "y2": ("5.0", "9.0", "9.0", "5.0", "9.0")}
+
+
+def _corner(name: str, kind: str) -> str:
+    return f"CASE o_custkey % 6 {' '.join(f'WHEN {k} THEN CAST({v} AS {kind})' for k, v in enumerate(_CORNERS[name], 1))} END"
 
 
 @query(
     "id long, error string",
-    f"""WITH v(id, path, page, x1, y1, x2, y2, width, height, pages) AS (VALUES {', '.join(f"({i}, '{p}', {pg}, {', '.join('NULL::DOUBLE' for _ in range(4)) if s is None else ', '.join(f'{v!r}::DOUBLE' for v in s)}, {w}, {h}, {n})" for i, (p, pg, s, w, h, n) in enumerate(SPECS))}),
-    e AS (SELECT *, lower(regexp_extract(path, '\\.[^.]+$')) AS suffix FROM v)
+    f"""WITH v AS (SELECT *, {', '.join(f'{_corner(c, "DOUBLE")} AS {c}' for c in _CORNERS)} FROM (SELECT o_orderkey AS id, o_custkey, {', '.join(f'{e} AS {c}' for c, e in _SPECS.items())} FROM orders)),
+    e AS (SELECT * REPLACE (coalesce(page, 0) AS page), page IS NULL OR x1 IS NULL AS asked, lower(regexp_extract(path, '\\.[^.]+$')) AS suffix FROM v)
     SELECT id, CASE WHEN trim(path) = '' THEN 'empty_path' WHEN page < 0 THEN 'negative_page' WHEN x1 < 0 OR y1 < 0 OR x2 <= x1 OR y2 <= y1 THEN 'bad_selection' WHEN suffix NOT IN ({', '.join(f"'{x}'" for x in inputs.SUFFIXES)}) THEN 'unsupported_format'
-      WHEN suffix <> '.pdf' AND page <> 0 THEN 'image_page' WHEN suffix = '.pdf' AND page >= pages THEN 'page_outside' WHEN suffix <> '.pdf' AND width * height > 20000000 THEN 'over_budget' WHEN x2 > width + 1e-6 OR y2 > height + 1e-6 THEN 'selection_outside' END AS error FROM e""",
+      WHEN suffix = '.pdf' AND selected AND asked THEN 'selection_required' WHEN suffix <> '.pdf' AND page <> 0 THEN 'image_page' WHEN suffix = '.pdf' AND page >= pages THEN 'page_outside' WHEN suffix <> '.pdf' AND width * height > 20000000 THEN 'over_budget'
+      WHEN x2 > width + 1e-6 OR y2 > height + 1e-6 THEN 'selection_outside' END AS error FROM e""",
 )
 def input_validation(t: Relations) -> DataFrame:
-    rows = [(i, p, pg, *(s or (None,) * 4), w, h, n) for i, (p, pg, s, w, h, n) in enumerate(SPECS)]
-    df = t.spark.createDataFrame(rows, "id long, path string, page long, x1 double, y1 double, x2 double, y2 double, width long, height long, pages long")
-    return df.withColumn("error", inputs.input_error(F.col("path"), F.col("page"), [F.col(c) for c in ("x1", "y1", "x2", "y2")], F.col("width"), F.col("height"), F.col("pages")))
+    df = t.table("orders").select(F.col("o_orderkey").alias("id"), "o_custkey", *[F.expr(e).alias(c) for c, e in _SPECS.items()])
+    df = df.withColumns({c: F.expr(_corner(c, "DOUBLE")) for c in _CORNERS})
+    return df.withColumn("error", inputs.input_error(F.col("path"), F.col("page"), [F.col(c) for c in _CORNERS], F.col("width"), F.col("height"), F.col("pages"), F.col("selected")))
+
+
+@query("name string, value string")
+def environment(t: Relations) -> DataFrame:
+    """Versions that a run depends on (rows only)."""
+    return inputs.environment(t.spark)
 
 
 _CHANGED = {"mode": "CASE p_size % 7 WHEN 0 THEN 'both' ELSE 'fusion' END", "blur_kernel": "p_size % 6", "difference_threshold": "p_size * 6", "min_scale": "0.85 + (p_partkey % 5) / 10.0", "orb_keep_match_ratio": "(p_partkey % 4) / 2.0 - 0.25"}
@@ -254,19 +281,20 @@ def source_fingerprint(t: Relations) -> DataFrame:
     return inputs.fingerprint(files.withColumn("content", F.col("text").cast("binary")), ["conv_id"], "name", "content")
 
 
-#: message, raised, kind that the input gave, stage
-FAILURES = (
-    ("boom", "MemoryError", None, "ocr"), ("CUDA Out Of Memory", "RuntimeError", None, "alignment"), ("bad", "InputError", "pdf_load_error", "validation"), ("x", "ValueError", None, "validation"), ("x", "ValueError", None, "ocr"), ("x", "ValueError", None, "alignment"), ("x", "ValueError", None, "report"),
-)
+#: Failures of all kinds from the values of an event: message, what was raised, the kind that an input error gives, stage.
+_FAILURES = {
+    "message": "CASE event_id % 5 WHEN 0 THEN 'boom' WHEN 1 THEN 'CUDA Out Of Memory' ELSE concat(event_type, ' failed') END", "raised": "CASE event_id % 4 WHEN 0 THEN 'MemoryError' WHEN 1 THEN 'InputError' WHEN 2 THEN 'RuntimeError' ELSE 'ValueError' END",
+    "given": "CASE WHEN user_id % 3 = 0 THEN 'pdf_load_error' ELSE 'unsupported_input' END", "stage": "CASE user_id % 5 WHEN 0 THEN 'validation' WHEN 1 THEN 'ocr' WHEN 2 THEN 'alignment' WHEN 3 THEN 'report' ELSE event_type END",
+}
 
 
 @query(
-    "id long, kind string",
-    f"""WITH v(id, message, raised, given, stage) AS (VALUES {', '.join(f"({i}, '{m}', '{r}', {'NULL' if g is None else repr(g)}, '{s}')" for i, (m, r, g, s) in enumerate(FAILURES))})
-    SELECT id, CASE WHEN raised = 'MemoryError' OR contains(lower(message), 'out of memory') THEN 'out_of_memory' WHEN raised = 'InputError' THEN given WHEN stage = 'validation' THEN 'unsupported_input' WHEN stage IN ('ocr', 'alignment') THEN stage || '_failure' ELSE 'algorithm_exception' END AS kind FROM v""",
+    "event_id long, kind string",
+    f"""WITH v AS (SELECT event_id, {', '.join(f'{e} AS {c}' for c, e in _FAILURES.items())} FROM events)
+    SELECT event_id, CASE WHEN raised = 'MemoryError' OR contains(lower(message), 'out of memory') THEN 'out_of_memory' WHEN raised = 'InputError' THEN given WHEN stage = 'validation' THEN 'unsupported_input' WHEN stage IN ('ocr', 'alignment') THEN stage || '_failure' ELSE 'algorithm_exception' END AS kind FROM v""",
 )
 def error_classification(t: Relations) -> DataFrame:
-    df = t.spark.createDataFrame([(i, *f) for i, f in enumerate(FAILURES)], "id long, message string, raised string, given string, stage string")
+    df = t.table("events").select("event_id", *[F.expr(e).alias(c) for c, e in _FAILURES.items()])
     return df.withColumn("kind", de.error_kind(F.col("message"), F.col("raised"), F.col("given"), F.col("stage")))
 
 
