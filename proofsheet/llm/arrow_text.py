@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,53 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 
 
+def release() -> None:
+    """Give memory that is not in use back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def frugal(run: Callable) -> Callable:
+    """A task's function on Arrow batches that gives memory back after each batch and at its end.
+
+    Python workers are reused from task to task and stage to stage, and what they keep counts against their executor.
+    """
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def watched() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                release()
+
+        try:
+            yield from run(watched())
+        finally:
+            release()
+
+    return task
+
+
+_sole: list = [None, None]
+
+
+def sole(load: Callable) -> Callable:
+    """A cached loader of something large. A worker keeps one such thing at a time, whichever loader made it last."""
+
+    @functools.wraps(load)
+    def loaded(*args):
+        name = (load.__module__, load.__name__, args)
+        if _sole[0] != name:
+            _sole[:] = [None, None]
+            _sole[:] = [name, load(*args)]
+        return _sole[1]
+
+    return loaded
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a binary or string array without nulls; offsets start at 0."""
     if not len(column):

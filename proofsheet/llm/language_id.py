@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import SLICE_BYTES, buffers, groups, segment_sums, spaced
+from .arrow_text import SLICE_BYTES, buffers, frugal, groups, segment_sums, spaced
 from .common import remainder
 
 ORDER = 3
@@ -76,6 +76,7 @@ def pieces(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
             yield x, starts, starts + np.diff(offsets[first : last + 1]), np.arange(first, last)
 
 
+@frugal
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, four bytes as a number, count) of each slice."""
     for batch in batches:
@@ -182,6 +183,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:

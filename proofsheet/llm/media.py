@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from .arrow_text import frugal
 from .common import new_path
 
 WIDTH = 64
@@ -342,6 +343,7 @@ def feature(samples: np.ndarray) -> str:
 def features(media: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media) -> digests and features of the samples as they are stored."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

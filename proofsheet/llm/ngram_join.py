@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import buffers
+from .arrow_text import buffers, frugal
 from .bloom import possible
 from .common import skew_join, unwrapped, wrapped, written
 from .components import components
@@ -44,6 +44,8 @@ BANDS, ROWS = 40, 8
 BLOCK, BLOCK_BYTES = 8192, 8 << 20
 #: Members that are compared with all others at a time, and shingles that are counted at a time.
 TILE, WIDTH = 256, 2048
+#: Documents that are signed together and send each of their band hashes once.
+SIGNED_ROWS = 4096
 #: Bytes of text whose words are hashed at a time.
 PART_BYTES = 1 << 18
 
@@ -155,8 +157,9 @@ def _lists(values: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
 
 
 def _signatures(bands: int, rows: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, SIGNED_ROWS) for b in batches for k in range(0, b.num_rows, SIGNED_ROWS)):
             raw, offsets = buffers(batch.column("t"))
             n = batch.num_rows
             h = np.zeros((2, n), np.int64)
@@ -258,9 +261,8 @@ def unite(label: np.ndarray, tile: np.ndarray, right: np.ndarray, linked: np.nda
 def _verify(bands: int, rows: int, threshold: float):
     def task(group: list[tuple], i: int, j: int) -> list[tuple]:
         members: dict[tuple[int, int], tuple] = {}
-        for h1, h2, size, block, text in group:
+        for h1, h2, size, block, s in group:
             if (h1, h2) not in members:
-                s = shingles(np.frombuffer(text, np.uint8))
                 if len(s) and set_hash(s) == (h1, h2):
                     members[(h1, h2)] = (s, size, block)
         names = sorted(members)
@@ -279,17 +281,18 @@ def _verify(bands: int, rows: int, threshold: float):
             unite(root, tile, others, linked)
         return [(*names[k], int(count[k]), *names[root[k]]) for k in np.flatnonzero(count).tolist()]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, []
         for batch in batches:
             out: list[tuple] = []
-            columns = [batch.column(c).to_pylist() for c in ("label", "i", "j", "h1", "h2", "size", "block", "t")]
-            for label, i, j, *row in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("label", "i", "j", "h1", "h2", "size", "block")]
+            for (label, i, j, *row), text in zip(zip(*columns, strict=True), batch.column("t"), strict=True):
                 if (label, i, j) != now:
                     if now is not None:
                         out += task(group, now[1], now[2])
                     now, group = (label, i, j), []
-                group.append(tuple(row))
+                group.append((*row, shingles(np.frombuffer(text.as_buffer(), np.uint8))))
             yield _rows(out)
         if now is not None:
             yield _rows(task(group, now[1], now[2]))

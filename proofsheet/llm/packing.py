@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow_text import buffers, groups, words
+from .arrow_text import buffers, frugal, groups, sole, words
 from .common import written
 
 TOKENIZER = "word_bpe_49k.json"
@@ -236,7 +236,7 @@ class Words:
         return ids, np.concatenate(([0], upto[ends + np.arange(len(ends))]))
 
 
-@functools.lru_cache(maxsize=1)
+@sole
 def words_of(tokenizer: str) -> Words:
     import public_tokenizers
 
@@ -304,6 +304,7 @@ def _kind(wide: bool) -> str:
 
 
 def _tokenize(tokenizer: str, wide: bool):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, kind = words_of(tokenizer), np.dtype(_kind(wide))
         n_ids = of.tokenizer.get_vocab_size()
@@ -338,6 +339,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def _pack(wide: bool):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
         sequence, held, fill = 0, [], 0

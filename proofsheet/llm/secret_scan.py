@@ -16,7 +16,6 @@ no rows. scan and stage carry all other columns as they are; scan's own result c
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow_text import buffers
+from .arrow_text import buffers, frugal, sole
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -56,7 +55,7 @@ KEY_BYTES = np.zeros(256, bool)
 KEY_BYTES[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
 
 
-@functools.lru_cache(maxsize=2)
+@sole
 def encoding(vocabulary: str):
     import public_tokenizers
     import tiktoken
@@ -198,6 +197,7 @@ FOUND = "n_assign long, n_access long, n_hex long, n_random long, base_sha256 st
 
 
 def _scan(vocabulary: str, source: str, redact: str | None):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(source)

@@ -82,3 +82,54 @@ def test_long_texts_hash_like_short_ones(monkeypatch):
     monkeypatch.setattr(J, "PART_BYTES", 37)
     J.powers.cache_clear()
     assert (J.word_hashes(raw) == whole).all() and len(whole) == 200
+
+
+def exact_links(texts):
+    """Links of each text and classes, by counting the shingles that any two texts share."""
+    from collections import Counter
+
+    sets, owners = [], {}
+    for i, t in enumerate(texts):
+        w = (t or "").encode().lower().split()
+        k = min(5, len(w))
+        sets.append({tuple(w[j : j + 5]) for j in range(len(w) - k + 1)} if w else set())
+        for s in sets[-1]:
+            owners.setdefault(s, []).append(i)
+    links, up = [0] * len(texts), list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for i, s in enumerate(sets):
+        shared = Counter(j for x in s for j in owners[x] if j < i)
+        for j, n in shared.items():
+            if n >= 0.8 * (len(s) + len(sets[j]) - n):
+                links[i] += 1
+                links[j] += 1
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    return links, [find(i) for i in range(len(texts))]
+
+
+def test_recall_on_the_small_table(spark):
+    """All links of the 0.01 GB table at the threshold: none is missed, none is added."""
+    rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect())
+    links, classes = exact_links([t for _, t in rows])
+    got = {r["doc_id"]: r for r in J.op5_ngram_join(spark, "/root/testdata/sf0.01").collect()}
+    assert sum(links) > 200
+    assert [got[i]["n_links"] for i, _ in rows] == links
+    assert [got[i]["class_id"] for i, _ in rows] == [rows[c][0] for c in classes]
+
+
+def test_texts_move_once_in_a_large_component(spark):
+    """A component of thousands of near copies sends each text to one task; one of more than BLOCK members once a block."""
+    rows = [(0, k, k, 1, k, 3000) for k in range(5000)] + [(1, k, k, 1, k, 10) for k in range(10_000, 10_003)]
+    members = spark.createDataFrame(rows, "label long, h1 long, h2 long, size long, rk long, n_bytes long")
+    texts = spark.createDataFrame([(r[4], bytearray(b"t")) for r in rows] * 2, "rk long, t binary")
+    for members_a_block, bytes_a_block, most in ((J.BLOCK, J.BLOCK_BYTES, 2), (2500, 1 << 30, 2), (J.BLOCK, 1 << 30, 1)):
+        wanted = J.with_blocks(members, members_a_block, bytes_a_block)
+        n = J.text_tasks(wanted, texts).groupBy("label").count().collect()
+        assert {r["label"]: r["count"] for r in n} == {0: 5000 * most, 1: 3}
