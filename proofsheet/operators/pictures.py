@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from ..sources.images import encode_png
-from . import images
+from . import images, regions
 
 # Colours (blue, green, red) and the width of a drawn edge.
 LEVEL_COLOURS = {"low": (0, 200, 0), "medium": (0, 255, 255), "high": (0, 128, 255), "critical": (0, 0, 255)}
@@ -54,3 +54,15 @@ def comparison_files(pairs: DataFrame) -> DataFrame:
         return {"name": list(found), "png": [encode_png(v) for v in found.values()]}
 
     return images.map_images(pairs, kernel, "name string, png binary", "a", "b")
+
+
+def region_files(pictures: DataFrame, plane: str) -> DataFrame:
+    """pictures (gathered) -> image_id, n_text, n_picture, png: each picture with its text and picture regions drawn in."""
+
+    def kernel(v):
+        found = regions.separated(v)
+        boxes = list(zip(*(found[c].tolist() for c in ("x", "y", "width", "height")), strict=True))
+        shown = drawn(v, boxes, [KIND_COLOURS[k] for k in found["kind"]])
+        return {"n_text": [found["kind"].count(regions.TEXT)], "n_picture": [found["kind"].count(regions.PICTURE)], "png": [encode_png(shown)]}
+
+    return images.map_images(pictures, kernel, "n_text long, n_picture long, png binary", plane)

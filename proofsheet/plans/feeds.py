@@ -73,6 +73,18 @@ def json_requests(t: Relations) -> DataFrame:
     return df.withColumn("n_regions", F.when(F.col("regions").isNotNull(), F.size("regions")))
 
 
+@query(
+    "event_id long, response string",
+    """WITH q AS (SELECT event_id, event_type || '.png' AS image_path, event_id % 4 AS n, CAST(json_extract(props, '$.k') AS BIGINT) - 5 AS k FROM events)
+    SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '{"error":"no image_path"}' WHEN event_id % 5 = 0 THEN '{"error":"no regions"}' WHEN k <= 0 THEN '{"error":"bad batch_size"}'
+      ELSE '{"image_path":"' || image_path || '","n_regions":' || n || ',"batches":' || CAST(ceil(n / k::DOUBLE) AS BIGINT) || '}' END AS response FROM q""",
+)
+def json_responses(t: Relations) -> DataFrame:
+    """What a worker answers to each request: the error, or how it would go through the regions."""
+    df = json_requests(t).withColumn("batches", F.ceil(F.col("n_regions") / F.col("batch_size")))
+    return recognition.responses(df, ["image_path", "n_regions", "batches"])
+
+
 @query(
     "doc_id long, pos long, x1 long, y1 long, x2 long, y2 long, number long",
     "SELECT doc_id, pos, x1 + doc_id % 7 * 100 AS x1, y1 + doc_id % 5 * 50 AS y1, x2 + doc_id % 7 * 100 AS x2, y2 + doc_id % 5 * 50 AS y2, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY y1 + doc_id % 5 * 50, x1 + doc_id % 7 * 100, doc_id, pos) AS number FROM ocr_line",

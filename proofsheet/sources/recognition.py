@@ -43,3 +43,18 @@ def requests(lines: DataFrame) -> DataFrame:
     df = lines.withColumn("r", F.from_json("value", REQUEST))
     bad = F.when(F.col("r.image_path").isNull(), "no image_path").when(F.col("r.regions").isNull(), "no regions").when(F.col("r.batch_size") <= 0, "bad batch_size")
     return df.select(*lines.columns, "r.image_path", "r.regions", F.coalesce("r.batch_size", F.lit(32)).alias("batch_size"), bad.alias("error"))
+
+
+def responses(answered: DataFrame, columns: list[str]) -> DataFrame:
+    """Lines of JSON (column response) for requests with an error or with results in these columns: one line each, the error
+    alone where there is one. Works on a stream as on a table."""
+    failed = F.to_json(F.struct(F.col("error")))
+    return answered.withColumn("response", F.when(F.col("error").isNotNull(), failed).otherwise(F.to_json(F.struct(*columns))))
+
+
+def output_image(results: DataFrame) -> Column:
+    """The picture that a model read its lines from, where its result has one."""
+    field = next((f for f in results.schema if f.name == "doc_preprocessor_res"), None)
+    if field is None or "output_img" not in field.dataType.names:
+        return F.lit(None).cast("binary")
+    return F.col("doc_preprocessor_res")["output_img"]

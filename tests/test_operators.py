@@ -310,9 +310,10 @@ def test_resampling_and_warping():
     assert (images.warped(v, 1.0, 0.0, 3, -2, 12, 16)[:10, 3:] == v[2:, :13]).all()
     big = images.warped(images.resized(v, 24, 32, "linear"), 0.5, 0.0, 0, 0, 12, 16)
     assert big.shape == v.shape
-    flat = images.contrasted(np.full((20, 30), 77.0))
-    assert flat.shape == (20, 30) and np.ptp(flat) == 0
-    assert np.ptp(images.contrasted(np.floor(v / 8) + 100)) > np.ptp(np.floor(v / 8))
+    flat = images.contrasted(np.full((64, 64), 77.0))
+    assert flat.shape == (64, 64) and np.ptp(flat) == 0
+    dim = np.floor(RNG.integers(0, 256, (80, 96)) / 8) + 100
+    assert np.ptp(images.contrasted(dim)) > 2 * np.ptp(dim)
 
 
 def test_regions_of_a_drawn_page():
