@@ -37,7 +37,7 @@ VECTOR, DIMENSIONS, BITS = 64, 4, 8
 #: Tokens that a task packs: 32 MB of 16-bit ids.
 TASK_TOKENS = 1 << 24
 #: Bytes of text whose words are told apart together.
-WORD_BYTES = 4 << 20
+WORD_BYTES = 2 << 20
 #: A character that is a token of its own between words; words with it are tokenized one by one.
 MARK = "\x01"
 
