@@ -120,9 +120,9 @@ def _among(vocabulary: tuple[str, ...]):
     return lambda w: w.isin(*vocabulary)
 
 
-def language_scores(text: Column, listed: Column) -> dict[str, Column]:
-    """Listed words of each language, and 3 for its own accents (1 for accents that French and Spanish share)."""
-    accented = text.rlike(NOT_ASCII)
+def language_scores(text: Column, listed: Column, accented: Column) -> dict[str, Column]:
+    """Listed words of each language, and 3 for its own accents (1 for accents that French and Spanish share). accented:
+    whether the text has any character beyond ASCII."""
     has = lambda chars: accented & text.rlike("[" + chars + "]")
     out = {}
     for lang, vocabulary in LANGUAGE_WORDS.items():
@@ -146,16 +146,15 @@ def best_language(scores: dict[str, Column]) -> tuple[Column, Column, Column]:
     return lang, best, F.greatest(*others)
 
 
-def analysis(scripts: dict[str, Column], ranked: tuple[Column, Column, Column], text: Column, n_words: Column) -> tuple[Column, Column]:
+def analysis(scripts: dict[str, Column], ranked: tuple[Column, Column, Column], text: Column, accented: Column, n_words: Column) -> tuple[Column, Column]:
     """(language, conflict) of a trimmed text with so many words, from its scripts and best language."""
     lang, best, second = ranked
     foreign = (scripts["cyrillic"] > 0) | (scripts["greek"] > 0) | (scripts["other_letters"] > 0)
-    ascii_only = ~text.rlike(NOT_ASCII)
     language = (
         F.when(text == "", "unknown").when(foreign, "conflict")
         .when(scripts["han"] > 0, F.when(scripts["latin"] > 0, "zh+latin").otherwise("zh"))
         .when(scripts["latin"] == 0, "numeric")
-        .when(best == 0, F.when(ascii_only & (n_words >= 2), "en").otherwise("latin"))
+        .when(best == 0, F.when(~accented & (n_words >= 2), "en").otherwise("latin"))
         .when(best == second, "latin").otherwise(lang)
     )
     lettered = (text != "") & ~foreign & (scripts["han"] == 0) & (scripts["latin"] > 0)

@@ -90,13 +90,14 @@ def analysed(lines: DataFrame) -> DataFrame:
 
     What several results need is a column of its own, so that no expression is worked out twice.
     """
-    text = F.trim("text")
-    df = lines.withColumns({"a_strange": tx.unfamiliar(text), "a_words": tx.words(text)})
+    text, accented = F.col("a_text"), F.col("a_accented")
+    df = lines.withColumn("a_text", F.trim("text"))
+    df = df.withColumns({"a_strange": tx.unfamiliar(text), "a_words": tx.words(text), "a_accented": text.rlike(tx.NOT_ASCII)})
     df = df.withColumns({"a_listed": tx.listed_words(F.col("a_words")), "a_n": F.size("a_words"), **tx.script_counts(text, F.col("a_strange"))})
-    df = df.withColumns({f"score_{k}": v for k, v in tx.language_scores(text, F.col("a_listed")).items()})
+    df = df.withColumns({f"score_{k}": v for k, v in tx.language_scores(text, F.col("a_listed"), accented).items()})
     ranked = tx.best_language({k: F.col(f"score_{k}") for k in tx.LANGUAGES})
     df = df.withColumns(dict(zip(("a_lang", "a_best", "a_second"), ranked, strict=True)))
-    language, conflict = tx.analysis({k: F.col(k) for k in tx.SCRIPTS}, tuple(F.col(c) for c in ("a_lang", "a_best", "a_second")), text, F.col("a_n"))
+    language, conflict = tx.analysis({k: F.col(k) for k in tx.SCRIPTS}, tuple(F.col(c) for c in ("a_lang", "a_best", "a_second")), text, accented, F.col("a_n"))
     return df.withColumns({"language": language, "conflict": conflict}).drop(*[c for c in df.columns if c.startswith("a_") and c not in lines.columns])
 
 
