@@ -65,6 +65,17 @@ def unwrapped(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     return df.select(*[(new[c] if c in new else F.col(ROW).getField(c)).alias(c) for c in columns])
 
 
+#: Bytes of an Arrow batch, which the JVM and a Python worker both hold; the session's setting if it was set to anything.
+BATCH_BYTES = 4 << 20
+_BATCH, _UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the session's Arrow batches, unless a bound was chosen for it."""
+    if spark.conf.get(_BATCH) == _UNSET:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 #: A key with over one MAX_HEAVY-th of all rows, and over MIN_HEAVY rows, is heavy: there are fewer than MAX_HEAVY of them.
 MAX_HEAVY, MIN_HEAVY = 1000, 1000
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import SLICE_BYTES, buffers, frugal, groups, segment_sums, spaced
-from .common import remainder
+from .common import remainder, small_batches
 
 ORDER = 3
 CLASSES = 64
@@ -180,6 +180,7 @@ def train_model(docs: DataFrame, train: Column, max_docs: int = MAX_DOCS) -> Mod
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs(doc_id, held_out, text) -> doc_id, held_out, lang_pred, score (posterior of the language, equal priors), bits_per_byte."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .arrow_text import frugal
-from .common import new_path
+from .common import new_path, small_batches
 
 WIDTH = 64
 #: Stored bytes of members in one partition of a read, and in one Arrow batch.
@@ -319,6 +319,7 @@ class MediaArchive(DataSource):
 
 def store(docs: DataFrame, uri: str) -> None:
     """Write the texts of docs(doc_id, text) as media archives under uri."""
+    small_batches(docs.sparkSession)
     docs.sparkSession.dataSource.register(MediaArchive)
     docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("t")).write.format("media_archive").mode("append").save(uri)
 

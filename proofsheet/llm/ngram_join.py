@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import buffers, frugal
 from .bloom import possible
-from .common import skew_join, unwrapped, wrapped, written
+from .common import skew_join, small_batches, unwrapped, wrapped, written
 from .components import components
 
 N, THRESHOLD = 5, 0.8
@@ -327,6 +327,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows
     """(signatures, classes): a row (doc_id, rk, h1, h2, n_shingles) for each document, and a row for each distinct set:
     h1, h2, size (documents with it), n_links (documents linked to it, its other copies included), class_id, class_size,
     and k1, k2, the set that stands for the class."""
+    small_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rk"))
     signed = texts.select("doc_id", "rk", F.coalesce("text", F.lit("")).cast("binary").alias("t")).mapInArrow(_signatures(bands, rows), SIGNATURES)
     signed = written(signed, "signatures")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_text import buffers, frugal, groups, sole, words
-from .common import written
+from .common import small_batches, written
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE = 2048
@@ -384,6 +384,7 @@ def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER, wide: bool = False) -
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, wide: bool = False) -> DataFrame:
     """docs(doc_id, text) -> one row for each piece: its ids are those of its document from start on."""
+    small_batches(docs.sparkSession)
     rows = written(tokenized(docs, tokenizer, wide), "pack-tokens")  # the ties are as they are written from here on
     n_tokens = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_tokens // TASK_TOKENS))

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_text import buffers, frugal, sole
+from .common import small_batches
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -264,6 +265,7 @@ def _free(name: str, columns: list[str]) -> str:
 
 def scan(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """docs without its text column, with the counts, base_sha256 and all spans in place of any columns of these names."""
+    small_batches(docs.sparkSession)
     made = [f.split()[0] for f in FOUND.split(", ")]
     keep = [c for c in docs.columns if c != text and c not in made]
     source = _free("s_text", keep)
@@ -274,6 +276,7 @@ def scan(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> D
 
 def stage(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """docs with every span replaced by MARK; n_chars follows. Columns as in the input."""
+    small_batches(docs.sparkSession)
     source = _free("s_text", docs.columns)
     df = docs.withColumn(source, F.coalesce(F.col(text), F.lit("")))
     df = df.mapInArrow(_scan(vocabulary, source, text), docs.schema)
