@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import images
+
 #: Fixed values of the checks' rules: area ratio and similarity at which a level begins.
 AREA_LEVELS = ((0.0005, "low"), (0.005, "medium"), (0.02, "high"))
 SSIM_LEVELS = ((0.50, "critical"), (0.75, "high"), (0.90, "medium"), (0.95, "low"))
@@ -70,18 +72,14 @@ def union_area(boxes: DataFrame, keys: list[str], width: int, height: int) -> Da
 
 
 def box_features(boxes: DataFrame, marked: DataFrame) -> DataFrame:
-    """boxes(image_id, region_id, x, y, width, height) with the share (density) and spread of marked(image_id, y, x, on).
-
-    Boxes are expanded to their pixels and joined by equality, so work follows the boxes' areas, not boxes times pixels.
-    """
-    cells = boxes.withColumn("py", F.explode(F.sequence("y", F.col("y") + F.col("height") - 1))).withColumn("px", F.explode(F.sequence("x", F.col("x") + F.col("width") - 1)))
-    on = marked.select(F.col("image_id").alias("m_image"), F.col("y").alias("my"), F.col("x").alias("mx"), "on")
-    joined = cells.join(on, (F.col("image_id") == F.col("m_image")) & (F.col("py") == F.col("my")) & (F.col("px") == F.col("mx")))
-    df = joined.groupBy("image_id", "region_id", "x", "y", "width", "height").agg(F.avg("on").alias("density"), (F.stddev_pop("on") * 255).alias("spread"))
-    return df.withColumn("balance", F.least(F.col("density"), 1 - F.col("density")))
+    """boxes(image_id, region_id, x, y, width, height) with the share (density) and spread of marked(image_id, y, on as arrays
+    of 0 and 1)."""
+    df = images.box_sums(boxes.select("image_id", "region_id", "x", "y", "width", "height"), marked, "on")
+    df = df.withColumn("density", F.col("total") / F.col("n"))
+    return df.withColumns({"spread": F.sqrt(F.col("density") * (1 - F.col("density"))) * 255, "balance": F.least(F.col("density"), 1 - F.col("density"))})
 
 
-def gradient_marks(pixels: DataFrame, threshold: int) -> DataFrame:
-    """image_id, y, x, on: 1 where the step to the next pixel of the row is over the threshold; a stand-in for edges."""
-    nxt = F.lead("v").over(Window.partitionBy("image_id", "y").orderBy("x"))
-    return pixels.select("image_id", "y", "x", F.when(F.abs(nxt - F.col("v")) > threshold, 1).otherwise(0).alias("on"))
+def gradient_marks(rows: DataFrame, plane: str, threshold: int) -> DataFrame:
+    """image_id, y, on: 1 where the step to the next sample of the row is over the threshold; a stand-in for edges."""
+    step = lambda v, x: F.when(F.abs(F.get(plane, x + 1) - v) > threshold, 1).otherwise(0)
+    return rows.select("image_id", "y", F.transform(plane, step).alias("on"))

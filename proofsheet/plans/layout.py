@@ -254,7 +254,7 @@ _FEATURES = """edge AS (SELECT image_id, y, x, CASE WHEN abs(lead(v) OVER (PARTI
 
 
 def features(t: Relations) -> DataFrame:
-    return pixels.box_features(t.feature_box, pixels.gradient_marks(t.pixel, 60))
+    return pixels.box_features(t.feature_box, pixels.gradient_marks(t.image_row, "a", 60))
 
 
 @query("image_id long, region_id long, density double, spread double, balance double", f"WITH {_FEATURES} SELECT * FROM feat")
