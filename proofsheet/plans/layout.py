@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import boxes, pixels
+from ..operators import boxes, images, pixels
 from ..sources.relations import Relations
 from .registry import query
 
@@ -376,9 +376,7 @@ def crop_patches(t: Relations) -> DataFrame:
     order = Window.partitionBy("image_id").orderBy("y", "x", "region_id")
     df = t.feature_box.withColumn("r", F.row_number().over(order))
     path = F.format_string("panel_%02d_text_%04d.png", "image_id", "r")
-    df = df.withColumn("path", path).withColumn("py", F.explode(F.sequence("y", F.col("y") + F.col("height") - 1))).withColumn("px", F.explode(F.sequence("x", F.col("x") + F.col("width") - 1)))
-    px = t.pixel.select(F.col("image_id"), F.col("y").alias("py"), F.col("x").alias("px"), "v")
-    return df.join(px, ["image_id", "py", "px"]).groupBy("image_id", "region_id", "path").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    return images.box_sums(df.withColumn("path", path), t.image_row, "a")
 
 
 @query(
