@@ -28,7 +28,7 @@ def test_box_features_equal_plain_loops(spark):
     assert all((got[i]["density"], got[i]["spread"], got[i]["balance"]) == pytest.approx(v, abs=1e-9) for i, v in want.items())
 
 
-@pytest.mark.parametrize("name", ["region_box_features", "text_region_filter", "character_candidates", "crop_patches"])
+@pytest.mark.parametrize("name", ["region_box_features", "text_region_filter", "character_candidates", "crop_patches", "image_region_filter"])
 def test_pixels_of_boxes_are_not_broadcast(spark, name):
     plan = REGISTRY[name].run(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan and "FlatMapCoGroupsInArrow" in plan
