@@ -35,6 +35,15 @@ XYWH = ("x", "y", "x + width", "y + height")
 CORNERS = ("x1", "y1", "x2", "y2")
 
 
+def by_page(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Rows dealt by keys, so that a key is in one partition, and sorted there by keys and order.
+
+    The keys are dealt as one value: rows that a join left dealt by the same keys would be taken as they are, and adaptive
+    execution may then cut a large partition of that join, and with it a key, in parts.
+    """
+    return rows.repartition(F.struct(*keys)).sortWithinPartitions(*keys, *order)
+
+
 def greedy(boxes: DataFrame, keys: list[str], order: list[Column], fields: list[str], seen: tuple[str, ...], clash: Callable[[tuple, tuple], bool], limit: int | None = None) -> DataFrame:
     """Per key, take boxes in order and keep each that clashes with none kept before; up to limit of them.
 
@@ -43,7 +52,7 @@ def greedy(boxes: DataFrame, keys: list[str], order: list[Column], fields: list[
     """
     out = [*keys, *[c for c in fields if c not in keys]]
     df = boxes.select(*[F.col(c) for c in out], F.struct(*[F.expr(e).alias(f"e{i}") for i, e in enumerate(seen)]).alias("b_seen"), *[c.alias(f"b_order{i}") for i, c in enumerate(order)])
-    df = df.repartition(*keys).sortWithinPartitions(*keys, *[f"b_order{i}" for i in range(len(order))])
+    df = by_page(df, keys, *[f"b_order{i}" for i in range(len(order))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, kept = None, None
@@ -149,7 +158,7 @@ def joined_groups(rows: DataFrame, keys: list[str], tie: str, rule: Callable[[tu
         return frame.assign(root=sweep(boxes, frame[tie].tolist()) if boxes else [])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + f", root {rows.schema[tie].dataType.simpleString()}"
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "y1", tie).mapInPandas(run, schema)
+    return by_page(rows, keys, "y1", tie).mapInPandas(run, schema)
 
 
 def without_panels(boxes: DataFrame, keys: list[str], tie: str, page_area: float) -> DataFrame:

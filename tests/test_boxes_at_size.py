@@ -3,8 +3,8 @@
 import numpy as np
 import pytest
 
-from proofsheet.operators import images, pixels
-from proofsheet.plans.registry import REGISTRY
+from proofsheet.operators import boxes, images, pixels
+from proofsheet.plans import catalogue
 
 SMALL = "/root/testdata/sf0.001"
 BOXES = "image_id long, region_id long, x long, y long, width long, height long"
@@ -30,5 +30,20 @@ def test_box_features_equal_plain_loops(spark):
 
 @pytest.mark.parametrize("name", ["region_box_features", "text_region_filter", "character_candidates", "crop_patches", "image_region_filter"])
 def test_pixels_of_boxes_are_not_broadcast(spark, name):
-    plan = REGISTRY[name].run(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = catalogue.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+@pytest.mark.parametrize("name", ["match_select"])
+def test_groups_after_a_join_are_dealt_anew(spark, name):
+    """A join by the same keys, whose large partitions adaptive execution may cut, must not stand for the dealing by keys."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "-1")
+        df = catalogue.queries()[name](spark, SMALL)
+        assert "REPARTITION_BY_COL" in df._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[-1].split("Join")[0]
+        per_template = df.groupBy("template").count().collect()
+        assert per_template and all(r["count"] <= boxes.MATCH_LIMIT for r in per_template)
+    finally:
+        spark.conf.set(key, before)
