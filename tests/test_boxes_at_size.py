@@ -34,7 +34,7 @@ def test_pixels_of_boxes_are_not_broadcast(spark, name):
     assert "BroadcastExchange" not in plan and "FlatMapCoGroupsInArrow" in plan
 
 
-@pytest.mark.parametrize("name", ["match_select"])
+@pytest.mark.parametrize("name", ["match_select", "match_select_seeded"])
 def test_groups_after_a_join_are_dealt_anew(spark, name):
     """A join by the same keys, whose large partitions adaptive execution may cut, must not stand for the dealing by keys."""
     key = "spark.sql.autoBroadcastJoinThreshold"
