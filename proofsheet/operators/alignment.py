@@ -80,6 +80,11 @@ def decomposed(a: Column, b: Column) -> tuple[Column, Column]:
     return F.sqrt(a * a + b * b), F.degrees(F.atan2(b, a))
 
 
+def nearest_turn(rotation: Column, expected: Column) -> Column:
+    """The rotation (degrees) with as many whole turns, which a transform does not tell, as bring it nearest to an expected one."""
+    return rotation + 360 * F.rint((expected - rotation) / 360)
+
+
 def rejection(inlier_ratio: Column, rotation: Column, scale: Column) -> Column:
     """Reasons why a transform is not trusted, joined; empty if it is."""
     reasons = (

@@ -47,3 +47,11 @@ def test_groups_after_a_join_are_dealt_anew(spark, name):
         assert per_template and all(r["count"] <= boxes.MATCH_LIMIT for r in per_template)
     finally:
         spark.conf.set(key, before)
+
+
+def test_fits_of_many_pairs_count_whole_turns(spark, tmp_path):
+    pairs = [0, 180, 181, 359, 400, 725]
+    vectors = [(100 * k + i, [0.1] * 64) for k in pairs for i in range(100)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["image_pair"]: r for r in catalogue.queries()["similarity_fit"](spark, str(tmp_path)).collect()}
+    assert {k: (r["rotation"], r["scale"]) for k, r in got.items()} == {k: (float(k), round(1 + k / 100, 6)) for k in pairs}
