@@ -72,9 +72,9 @@ def union_area(boxes: DataFrame, keys: list[str], width: int, height: int) -> Da
 
 
 def box_features(boxes: DataFrame, marked: DataFrame) -> DataFrame:
-    """boxes(image_id, region_id, x, y, width, height) with the share (density) and spread of marked(image_id, y, on as arrays
-    of 0 and 1)."""
-    df = images.box_sums(boxes.select("image_id", "region_id", "x", "y", "width", "height"), marked, "on")
+    """boxes(image_id, x, y, width, height, ...) with the share (density) and spread of marked(image_id, y, on as arrays of 0
+    and 1). Equal boxes are one."""
+    df = images.box_sums(boxes, marked, "on")
     df = df.withColumn("density", F.col("total") / F.col("n"))
     return df.withColumns({"spread": F.sqrt(F.col("density") * (1 - F.col("density"))) * 255, "balance": F.least(F.col("density"), 1 - F.col("density"))})
 

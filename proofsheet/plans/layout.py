@@ -253,8 +253,8 @@ _FEATURES = """edge AS (SELECT image_id, y, x, CASE WHEN abs(lead(v) OVER (PARTI
       JOIN edge p ON p.image_id = b.image_id AND p.x >= b.x AND p.x < b.x + b.width AND p.y >= b.y AND p.y < b.y + b.height GROUP BY ALL)"""
 
 
-def features(t: Relations) -> DataFrame:
-    return pixels.box_features(t.feature_box, pixels.gradient_marks(t.image_row, "a", 60))
+def features(t: Relations, found: DataFrame | None = None) -> DataFrame:
+    return pixels.box_features(t.feature_box if found is None else found, pixels.gradient_marks(t.image_row, "a", 60))
 
 
 @query("image_id long, region_id long, density double, spread double, balance double", f"WITH {_FEATURES} SELECT * FROM feat")
@@ -294,11 +294,10 @@ def text_region_filter(t: Relations) -> DataFrame:
         AND (density >= 0.008 OR width * height / 4096 >= 0.02) AND NOT EXISTS (SELECT 1 FROM txt c WHERE c.image_id = f.image_id AND {_common('f', 'c')} / greatest(f.width * f.height, 1) >= 0.65)""",
 )
 def image_region_filter(t: Relations) -> DataFrame:
-    """Picture regions that don't lie inside a text region."""
-    df = features(t)
-    text = _text_like(df).filter("region_id % 3 = 0")
+    """Picture regions that don't lie inside a text region. Each side sums its own boxes, text regions at one place once."""
+    text = _text_like(features(t, t.feature_box.filter("region_id % 3 = 0").drop("region_id")))
     area, aspect = F.col("width") * F.col("height") / 4096, F.col("width") / F.greatest("height", F.lit(1))
-    rest = df.filter((F.col("region_id") % 3 != 0) & area.between(0.001, 0.45) & aspect.between(0.05, 20) & ((F.col("density") >= 0.008) | (area >= 0.02)))
+    rest = features(t, t.feature_box.filter("region_id % 3 <> 0")).filter(area.between(0.001, 0.45) & aspect.between(0.05, 20) & ((F.col("density") >= 0.008) | (area >= 0.02)))
     inside = (F.col("f.image_id") == F.col("c.image_id")) & (g.containment(g.xywh(boxes._named("f")), g.xywh(boxes._named("c"))) >= 0.65)
     return rest.alias("f").join(text.alias("c"), inside, "left_anti")
 

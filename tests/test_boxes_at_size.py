@@ -1,5 +1,8 @@
 """Boxes of many pictures: sums without expanded boxes, and groups that stay whole."""
 
+import re
+
+import duckdb
 import numpy as np
 import pytest
 
@@ -34,6 +37,23 @@ def test_pixels_of_boxes_are_not_broadcast(spark, name):
     assert "BroadcastExchange" not in plan and "FlatMapCoGroupsInArrow" in plan
 
 
+def test_text_regions_at_one_place_are_compared_once(spark, tmp_path):
+    """Copies of regions (the same place in the same picture) stay in the result, but a text region meets pictures once."""
+    rng = np.random.default_rng(7)
+    spark.createDataFrame([(k, rng.normal(0, 0.3, 64).tolist()) for k in range(128)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(k, 1 + k % 504 % 50) for k in range(3 * 504)], "p_partkey long, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    df = catalogue.queries()["image_region_filter"](spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("embeddings", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got, want = sorted(map(tuple, df.collect())), sorted(con.execute(catalogue.oracle_sql()["image_region_filter"]).fetchall())
+    ids = {r[1] for r in got}
+    assert got == want and 0 < len(got) < 2 * 504 and all((k + 504 in ids) == (k in ids) for k in range(2 * 504))
+    plan = df._jdf.queryExecution().optimizedPlan().toString().split("Join LeftAnti")[1].split("\n")
+    texts = next(line for line in plan if "Aggregate" in line and ":" not in line)
+    assert set(re.findall(r"(\w+)#", texts.split("]")[0])) == {"image_id", "x", "y", "width", "height"}
+
+
 @pytest.mark.parametrize("name", ["match_select", "match_select_seeded"])
 def test_groups_after_a_join_are_dealt_anew(spark, name):
     """A join by the same keys, whose large partitions adaptive execution may cut, must not stand for the dealing by keys."""
